@@ -15,8 +15,9 @@ also send that band's sketch, so any two linked documents meet in the band of th
    its own has no partner; that is exact, and most sets end here.
 3. survivors keep their d + 1 rarest keys (prefix filter over the common order frequency, key).
 4. stars: of each key's sets, all are verified against one pivot. What a star joins is contracted; keys that
-   still hold several components give their pairs over components, in blocks where a key is frequent, after
-   comparing bit sketches (one bit a shingle, again a lower bound of the symmetric difference).
+   still hold several components give their pairs over components. Sets of frequent keys are compared by blocks
+   instead, bit sketches first (one bit a shingle, again a lower bound of the symmetric difference), and a block yields
+   no more links than it has sets.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tessera.plans.session import discard, ship, table, width
 
 SMALL = 16
 SKETCH = 2048
-#: A key with more sets than this gives pairs by blocks of this many.
+#: Sets of a key with more sets than this are compared by blocks.
 CROWD = 64
 #: Sets (8 bytes each) whose ids are broadcast at most.
 NEAR = 500_000
@@ -266,21 +267,41 @@ def _verify(num: int, den: int):
 
 
 def _blocked(num: int, den: int):
-    """Pairs of two blocks of a frequent key's sets that their bit sketches and sizes allow, over components."""
+    """Links over components between two blocks of a crowd's sets: a spanning forest of them, so no more rows than sets.
+
+    Pairs that bit sketches and sizes allow are verified in the order of their distance; those that are joined already are not.
+    """
 
     def run(pdf):
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(y):  # a block against itself
-            y = x
-        bits = lambda d: np.unpackbits(np.frombuffer(b"".join(d.bits), np.uint8).reshape(len(d), -1), axis=1).astype(np.float32)
-        p, q = bits(x), bits(y)
-        far = p.sum(1)[:, None] + q.sum(1)[None] - 2 * (p @ q.T)
-        n, m = x.n.to_numpy()[:, None].astype(np.int64), y.n.to_numpy()[None].astype(np.int64)
-        ok = (far * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (x.comp.to_numpy()[:, None] != y.comp.to_numpy()[None])
-        i, j = np.nonzero(ok)
         import pandas as pd
 
-        return pd.DataFrame({"a": np.minimum(x.sid.to_numpy()[i], y.sid.to_numpy()[j]), "b": np.maximum(x.sid.to_numpy()[i], y.sid.to_numpy()[j])})
+        pdf = pdf.drop_duplicates("sid").sort_values("sid")
+        grid = np.unpackbits(np.frombuffer(b"".join(pdf.bits), np.uint8).reshape(len(pdf), -1), axis=1).astype(np.float32)
+        ones = grid.sum(1)
+        far = ones[:, None] + ones[None] - 2 * (grid @ grid.T)
+        n, comp = pdf.n.to_numpy().astype(np.int64), pdf.comp.to_numpy()
+        ok = (far * (den + num) <= (den - num) * (n[:, None] + n[None])) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None])) & (comp[:, None] < comp[None])
+        i, j = np.nonzero(ok)
+        order = np.argsort(far[i, j], kind="stable")
+        top = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        sets_ = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        sid, found = pdf.sid.to_numpy(), []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            a, b = find(comp[x]), find(comp[y])
+            if a == b:
+                continue
+            both = len(np.intersect1d(sets_[x], sets_[y], assume_unique=True))
+            if den * both >= num * (n[x] + n[y] - both):
+                top[max(a, b)] = min(a, b)
+                found.append((int(sid[x]), int(sid[y])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -345,7 +366,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edges.append(found)
         label, at = table(components(_all(edges)), "parity-label")
         tables.append(at)
-    found, at = table(_checked(_rest(prefix, label, items, num, den), items, num, den), "parity-rest")
+    pairs, links = _rest(prefix, label, items, num, den)
+    found = _checked(pairs, items, num, den)
+    found, at = table(found if links is None else found.unionByName(links), "parity-rest")
     edges.append(found)
     label = components(_all(edges))
     named = classes.select("sid", "rep").join(label.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
@@ -388,10 +411,14 @@ def _stars(prefix: DataFrame, label: DataFrame | None, turn: int, num: int, den:
     return best.select(F.least("sid", F.col("b.pivot")).alias("a"), F.greatest("sid", F.col("b.pivot")).alias("b")).distinct()
 
 
-def _rest(prefix: DataFrame, label: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components that still share a key."""
+def _rest(prefix: DataFrame, label: DataFrame, items: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """What different components still have in common: pairs of rarer keys, to be verified, and the links found within crowds.
+
+    The sets of keys with more than CROWD sets are gathered by crowds (what such keys connect), so that a pair that
+    shares many keys is met once; a crowd is worked off by pairs of blocks of 4 * CROWD sets.
+    """
     rows = _labelled(prefix, label)
-    sizes = rows.groupBy("key", "level").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "level", "g")
+    sizes = rows.groupBy("key", "level").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("hub")).filter("lo <> hi").select("key", "level", "g", "hub")
     open_, _ = table(rows.join(sizes, ["key", "level"]), "parity-open")
     few = open_.filter(F.col("g") <= CROWD)
     x, y = few.alias("x"), few.alias("y")
@@ -399,14 +426,18 @@ def _rest(prefix: DataFrame, label: DataFrame, items: DataFrame, num: int, den:
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.sid") < F.col("y.sid")))
         .filter((F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), num, den))
         .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        .distinct()
     )
     many = open_.filter(F.col("g") > CROWD)
-    parts = F.ceil(F.col("g") / (4 * CROWD)).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    dealt = many.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("i"), 0).otherwise(1))
-    dense = dealt.join(items.select("sid", "bits"), "sid").select("key", "level", "i", "j", "side", "sid", "n", "comp", "bits").groupBy("key", "level", "i", "j").applyInPandas(_blocked(num, den), "a long, b long")
-    return pairs.unionByName(dense).distinct()
+    if many.isEmpty():
+        return pairs, None
+    crowd = components(many.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"id": "sid", "comp": "crowd"})
+    member, _ = table(many.select("sid", "n", "comp").distinct().join(crowd, "sid"), "parity-crowd")
+    parts = member.groupBy("crowd").agg(F.ceil(F.count("*") / (4 * CROWD)).cast("int").alias("parts"))
+    dealt = member.join(parts, "crowd").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    links = dealt.join(items.select("sid", "items", "bits"), "sid").select("crowd", "i", "j", "sid", "n", "comp", "items", "bits").groupBy("crowd", "i", "j").applyInPandas(_blocked(num, den), "a long, b long")
+    return pairs, links
 
 
 def _checked(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
