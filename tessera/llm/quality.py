@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     """Weights fitted in one task on a sample bounded by most rows; zeros where there is nothing to learn from."""
     spark = docs.sparkSession
     ship(spark)
-    got = labelled(docs, labels, label, fold, kept_out, most, id_col).coalesce(1).mapInArrow(_fit, "w binary").collect()
+    got = labelled(docs, labels, label, fold, kept_out, most, id_col).repartition(1).mapInArrow(_fit, "w binary").collect()
     return np.frombuffer(got[0].w, dtype=np.float32).astype(np.float64) if got else np.zeros((1 << BITS) + 1)
 
 
