@@ -32,6 +32,8 @@ BASE, EXTRA = 48 << 10, 16 << 10
 #: Labelled documents that dictionaries and threshold are fitted on at most.
 SAMPLE = 12_000
 TOP = 6
+#: Windows of ordinary text that the trainer sees at most.
+PROSE = 60_000
 #: Surroundings and documents that a word of the toxic extract has at least, and how many times as frequent it is there.
 SIDES, SEEN, TIMES = 8, 8, 30
 
@@ -131,19 +133,23 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOW))
 
 
-def extract(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Words of toxic documents' own, the more frequent the later."""
-    often, rest, sides = Counter(), Counter(), defaultdict(set)
-    for w in toxic:
+def extract(toxic, ordinary) -> list[str]:
+    """Words of toxic documents' own, the more frequent the later. Both arguments give word lists and can be gone through again."""
+    often, rest, n, m = Counter(), Counter(), 0, 0
+    for w in toxic():
         often.update(set(w))
+        n += 1
+    often = Counter({w: k for w, k in often.items() if k >= SEEN})
+    for w in ordinary():
+        rest.update(often.keys() & set(w))
+        m += 1
+    own = {w for w, k in often.items() if k * max(m, 1) >= TIMES * (rest[w] + 0.5) * max(n, 1)}
+    sides = defaultdict(set)
+    for w in toxic():
         for a, b, c in zip(["", *w[:-1]], w, [*w[1:], ""], strict=True):
-            if len(sides[b]) < SIDES:
+            if b in own and len(sides[b]) < SIDES:
                 sides[b].add((a, c))
-    for w in ordinary:
-        rest.update(set(w))
-    n, m = max(len(toxic), 1), max(len(ordinary), 1)
-    own = [w for w, k in often.items() if k >= SEEN and len(sides[w]) >= SIDES and k * m >= TIMES * (rest[w] + 0.5) * n]
-    return sorted(own, key=lambda w: (often[w], w))
+    return sorted((w for w in own if len(sides[w]) >= SIDES), key=lambda w: (often[w], w))
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -157,19 +163,28 @@ def trained(samples: list[bytes], size: int) -> bytes:
     return b" ".join(samples)[-size:]
 
 
-def fit(texts: list[str], labels: np.ndarray, threshold: float) -> Model:
-    split = [words(t) for t in texts]
-    toxic, ordinary = [w for w, y in zip(split, labels, strict=True) if y == 1], [w for w, y in zip(split, labels, strict=True) if y == 0]
-    cut = lambda docs: [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for w in docs for i in range(0, len(w), WINDOW)]
-    prose = cut(ordinary)
-    base = trained(prose[:: max(1, len(prose) // 200_000)], BASE)
-    own = extract(toxic, ordinary)
-    tail = "".join(f"\x00 {w} " for w in own).encode()[-EXTRA:] or trained(cut(toxic), EXTRA) or b" "
-    common = [w for w, _ in sorted(Counter(x for w in ordinary for x in set(w)).items(), key=lambda i: (-i[1], i[0]))[:5000]]
+def fit(texts: pa.Array, labels: np.ndarray, threshold: float) -> Model:
+    """Goes through the texts several times and keeps no word lists, so that the sample's text is most of what it holds."""
+
+    def docs(label: int, step: int = 1):
+        return lambda: (words(texts[int(i)].as_py()) for i in np.flatnonzero(labels == label)[::step])
+
+    cut = lambda w: [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for i in range(0, len(w), WINDOW)]
+    prose: list[bytes] = []
+    for w in docs(0)():
+        prose += cut(w)
+        if len(prose) > PROSE:
+            break
+    base = trained(prose, BASE)
+    own = extract(docs(1), docs(0))
+    tail = "".join(f"\x00 {w} " for w in own).encode()[-EXTRA:] or trained([x for w in docs(1)() for x in cut(w)][:PROSE], EXTRA) or b" "
+    count = Counter(x for w in docs(0, 4)() for x in set(w))
+    common = sorted(count, key=lambda w: (-count[w], w))[:5000]
     common = [common[i] for i in np.random.default_rng(1).permutation(len(common))]
     filler = "".join(f"\x00 {w} " for w in common).encode()[: len(tail)] or b" "
     model = Model(base + filler, base + tail)
-    model.calibrate(model.gains(pa.array(texts, pa.large_string())), labels.astype(float), threshold)
+    del prose, count, common
+    model.calibrate(model.gains(texts), labels.astype(float), threshold)
     return model
 
 
@@ -178,7 +193,7 @@ def _fit(threshold: float):
         got = [b for b in batches if b.num_rows]
         if got:
             t = pa.Table.from_batches(got).sort_by("rank")
-            m = fit(t.column("text").to_pylist(), t.column("y").to_numpy(), threshold)
+            m = fit(t.column("text").combine_chunks(), t.column("y").to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.ordinary, m.toxic, np.concatenate([m.mean, m.scale, m.weight, [m.shift]]).tobytes())], names=["ordinary", "toxic", "curve"])
 
     return run
