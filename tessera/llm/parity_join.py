@@ -40,7 +40,7 @@ SKETCH = 2048
 CROWD = 64
 #: Sets (8 bytes each) whose ids are broadcast at most.
 NEAR = 500_000
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def bands(level: np.ndarray) -> np.ndarray:
@@ -236,8 +236,12 @@ def _gather(size: int):
                 g, index = sets(b, size)
                 sid, n = set_ids(g, index), np.diff(index)
                 bit = (mix(g ^ STEP[9]) % U(SKETCH)).astype(np.int64)
-                grid = np.bincount(bit + SKETCH * np.repeat(np.arange(b.n), n), minlength=b.n * SKETCH).reshape(b.n, SKETCH) & 1
-                packed = np.packbits(grid.astype(np.uint8), axis=1)
+                packed = []
+                for i in range(0, b.n, 256):  # a few texts at a time: a sketch is wide before it is packed
+                    j = min(i + 256, b.n)
+                    part = bit[index[i] : index[j]] + SKETCH * np.repeat(np.arange(j - i), n[i:j])
+                    packed.append(np.packbits((np.bincount(part, minlength=(j - i) * SKETCH).reshape(j - i, SKETCH) & 1).astype(np.uint8), axis=1))
+                packed = np.concatenate(packed)
                 keep = n > 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sid[keep]), pa.array(n[keep].astype(np.int32)), pa.array([g[index[i] : index[i + 1]].tobytes() for i in np.flatnonzero(keep)], pa.binary()), pa.array([packed[i].tobytes() for i in np.flatnonzero(keep)], pa.binary())],
