@@ -73,15 +73,15 @@ def locations(ns: DataFrame) -> DataFrame:
 def matches(ns: DataFrame, path: str | None = None, family: str | None = None, symbol_kind: str | None = None, search: str | None = None) -> DataFrame:
     """Ids of nodes that all given facets accept. An empty path accepts none."""
     out = ns
-    if path is not None:
-        loc = locations(ns).filter(F.col("path").isNotNull() & (under(F.col("path"), path) if path else F.lit(False)))
-        if family:
-            loc = loc.filter(F.array_contains("families", family))
-        out = out.join(loc.select("id"), "id", "left_semi")
     if symbol_kind is not None:
         out = out.filter((F.col("kind") == "symbol") & (F.col("symbol_kind") == symbol_kind))
     if search is not None:
         out = out.filter(F.lower("name").contains(search.lower()))
+    if path is not None:
+        at = F.when(F.col("kind") == "symbol", F.col("file_id")).otherwise(F.col("id"))
+        out = out.filter((F.col("kind") != "external") & (under(at, path) if path else F.lit(False)))
+        if family:  # only then do nodes have to be joined with families
+            out = out.join(locations(ns).filter(F.array_contains("families", family)).select("id"), "id", "left_semi")
     return out.select("id")
 
 
