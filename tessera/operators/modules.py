@@ -157,3 +157,54 @@ def module_order(modules: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"repo_id": pdf.repo_id.iloc[0], "id": order, "name": [names.get(v) for v in order], "component": [comp[v] for v in order], "ord": range(len(order))})
 
     return both.groupBy("repo_id").applyInPandas(run, "repo_id string, id int, name string, component int, ord int")
+
+
+def judged(ids: list, a: list, b: list, w: list) -> dict:
+    """id to (community or None, reason or None): communities of a small graph with the four tests of assignment."""
+    com = louvain(a, b, w) if a else {}
+    fresh = len(com)
+    for x in sorted(ids):
+        if x not in com:
+            com[x], fresh = fresh, fresh + 1
+    deg, inner, size = dict.fromkeys(com, 0.0), dict.fromkeys(com, 0.0), {}
+    for c in com.values():
+        size[c] = size.get(c, 0) + 1
+    for x, y, v in zip(a, b, w, strict=True):
+        for n in (x, y):
+            deg[n] += v
+            inner[n] += v if com[x] == com[y] else 0.0
+    m = sum(w)
+    within = sum(v for x, y, v in zip(a, b, w, strict=True) if com[x] == com[y])
+    total: dict = {}
+    for n, c in com.items():
+        total[c] = total.get(c, 0.0) + deg[n]
+    q = within / m - sum(d * d for d in total.values()) / (4 * m * m) if m else 0.0
+    reason = lambda x: "isolated" if deg[x] == 0 else "undersized" if size[com[x]] < 2 else "low-embeddedness" if inner[x] / deg[x] < 0.5 else "degenerate-partition" if q < 0.1 else None
+    return {x: (None, reason(x)) if reason(x) else (com[x], None) for x in com}
+
+
+def refine(files: DataFrame, und: DataFrame, wide: DataFrame) -> DataFrame:
+    """id, module_id, reason: wide modules split by their own inner edges where at least two parts are assigned.
+
+    files: id, module_id, reason; und: a, b, weight with both ends in one wide module; wide: module_id. A module is one task's work.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ship(files.sparkSession)
+    mine = files.join(wide, "module_id", "left_semi").select("module_id", "id")
+    both = mine.selectExpr("module_id", "id", "cast(null as string) as a", "cast(null as string) as b", "cast(null as double) as weight").unionByName(und.join(mine.withColumnRenamed("id", "a"), "a").selectExpr("module_id", "cast(null as string) as id", "a", "b", "weight"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf[pdf.a.notna()].sort_values(["a", "b"])
+        got = judged(pdf[pdf.id.notna()].id.tolist(), e.a.tolist(), e.b.tolist(), e.weight.tolist())
+        if len({c for c, _ in got.values() if c is not None}) < 2:
+            got = {}
+        return pd.DataFrame({"module_id": pdf.module_id.iloc[0], "id": list(got), "sub": pd.array([c for c, _ in got.values()], dtype="Int32"), "why": [r for _, r in got.values()]})
+
+    parts = both.groupBy("module_id").applyInPandas(run, "module_id int, id string, sub int, why string")
+    most = files.agg(F.max("module_id").alias("most"))
+    fresh = parts.filter("sub is not null").select("module_id", "sub").distinct().crossJoin(F.broadcast(most))
+    fresh = fresh.withColumn("fresh", F.col("most") + F.row_number().over(Window.orderBy("module_id", "sub"))).select("module_id", "sub", "fresh")
+    new = parts.join(fresh, ["module_id", "sub"], "left").select("id", "fresh", "why", F.lit(True).alias("split"))
+    return files.join(new, "id", "left").select("id", F.when(F.col("split"), F.col("fresh")).otherwise(F.col("module_id")).cast("int").alias("module_id"), F.when(F.col("split"), F.col("why")).otherwise(F.col("reason")).alias("reason"))
