@@ -10,10 +10,11 @@ STRING = {
     "go": r"`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'",
     "java": r"\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'",
     "rust": r"b?r(?P<hashes>#*)\"[\s\S]*?\"(?P=hashes)|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\[^\n]*?|[^'\\\n])'",
-    "script": r"`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
+    "script": r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
 }
 REST = r"(?P<id>[A-Za-z_$@#]?[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*|[A-Za-z_$])|(?P<num>\d[\w.]*)|(?P<p>=>|::|->|\.\.\.|\?\.|:=|\S)"
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+PART = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(?:`|\$\{)")
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -84,8 +85,24 @@ class Tokens:
         pattern = re.compile(f"(?P<ws>\\s+)|(?P<c>{COMMENT})|(?P<str>{STRING[language]})|" + (r"(?P<life>'\w+)|" if language == "rust" else "") + REST)
         self.t: list[Token] = []
         at, line = 0, 1
+        holes: list[int] = []  # open braces within each ${...} of a template, whose parts count as brackets
         while at < len(text):
             m = None
+            ends_hole = bool(holes) and holes[-1] == 0 and text[at] == "}"
+            if language == "script" and (text[at] == "`" or ends_hole):
+                if ends_hole:
+                    holes.pop()
+                    self.t.append(Token("p", ")", line, line))
+                m = PART.match(text, at + 1)
+                if m is None:
+                    raise BadSource("open template")
+                end = line + m.group().count("\n")
+                self.t.append(Token("str", m.group(), line, end))
+                if m.group().endswith("${"):
+                    holes.append(0)
+                    self.t.append(Token("p", "(", end, end))
+                at, line = m.end(), end
+                continue
             if language == "script" and text[at] == "/" and text[at + 1 : at + 2] not in ("/", "*"):
                 last = self.t[-1] if self.t else None
                 if last is None or (last.kind == "p" and last.text not in CLOSE) or last.text in ("return", "typeof", "case"):
@@ -99,6 +116,8 @@ class Tokens:
             end = line + got.count("\n")
             if kind == "p" and language != "script" and got in "\"`" + ("" if language == "rust" else "'"):  # quotes in markup are no strings
                 raise BadSource("open string")
+            if holes and kind == "p" and got in "{}":
+                holes[-1] += 1 if got == "{" else -1
             if kind not in ("ws", "c"):
                 self.t.append(Token(kind, got, line, end))
             at, line = m.end(), end
