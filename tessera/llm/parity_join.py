@@ -451,17 +451,21 @@ def _checked(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFram
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """docs without all but one document of each component: the one of the smallest id (of repeated rows, one).
+    """docs without all but one document of each component: the one of the smallest id (null ids last; of repeated rows, one).
 
-    Documents without words are in no group and stay. All columns of docs are kept.
+    Documents without words are in no group and stay, whatever their ids. An id that several texts share goes only with those
+    of its rows that are linked to a kept one. All columns of docs are kept.
     """
-    found = near_classes(docs, id_col, text_col, size, percent)
-    gone = found.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))))
-    lost = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    # a repeated id of a kept document: one row of each id and text
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
-    marked = kept.join(twice, F.col(id_col).eqNullSafe(F.col("_twice")), "left")
-    once = marked.filter("_twice is null").drop("_twice")
-    again = marked.filter("_twice is not null").drop("_twice").dropDuplicates([id_col])
-    return once.unionByName(again)
+    odd = docs.groupBy(F.col(id_col).alias("_id")).count().filter("_id is null or count > 1")
+    if odd.isEmpty():
+        found = near_classes(docs, id_col, text_col, size, percent)
+        lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(lost, F.col(id_col) == F.col("_gone"), "left_anti")
+    # Ids do not tell rows apart: rows are numbered in a written table, so that a lost task cannot number them anew.
+    rows, _ = table(docs.select(F.struct(*docs.columns).alias("_all")).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = near_classes(rows.select("_row", F.col(f"_all.`{text_col}`").alias("_text")), "_row", "_text", size, percent).filter("n_shingles > 0")
+    ids = rows.select("_row", F.col(f"_all.`{id_col}`").alias("_id"))
+    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
+    first = placed.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+    lost = placed.join(first, "component_id").filter("_row <> _first").select("_row")
+    return rows.join(lost, "_row", "left_anti").select("_all.*")

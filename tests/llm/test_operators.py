@@ -129,6 +129,14 @@ def test_keep_one(spark, docs, rows):
     assert {i for i in ids if i is not None} == want and ids.count(5) <= 1 and ids.count(1) == 1
 
 
+def test_keep_one_where_ids_are_null_or_shared(spark):
+    same, other = "the same seven words stand here twice", "something else of six words altogether"
+    rows = [(1, same), (2, same), (2, other), (2, ""), (None, same), (None, "a lone text"), (None, None), (None, ""), (3, None), (3, None), (4, other + " x")]
+    kept = parity_join.keep_one(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=repr)
+    assert got == sorted([(1, same), (2, other), (2, ""), (None, "a lone text"), (None, None), (None, ""), (3, None), (3, None), (4, other + " x")], key=repr)
+
+
 def test_empty_tables(spark):
     none, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
