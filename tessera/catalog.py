@@ -516,6 +516,12 @@ def v1_import_chain_levels(t):
     return G.levels(e, e.agg(F.min("source").alias("id")).filter("id is not null"))
 
 
+@query()
+def v1_import_chain(t):
+    e = t.chain()
+    return G.chain(e, e.agg(F.min("source").alias("id")).filter("id is not null"))
+
+
 @query("select distinct id from (select target as id from edges where source = (select min(source) from edges) union select min(source) from edges)")
 def v2_neighbourhood(t):
     e = edges(t)

@@ -230,6 +230,39 @@ def levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
     return seen
 
 
+def numbered(df: DataFrame, *keys: str, name: str = "ord") -> DataFrame:
+    """df with a number from 1 in the order of keys: range partitions, each offset by the rows of those before it."""
+    from tessera.plans.session import cut
+
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    size = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    before = size.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # one row for each partition
+    return ranged.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + at + 1).alias(name))
+
+
+def chain(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """id, level, ord, source: breadth-first from start (id) over the edges in sorted order.
+
+    ord is the order of visits from 0; source is the node whose edge reached id first (none at the start), so the
+    rows with a source are the tree's edges, in the order in which they are followed.
+    """
+    from tessera.plans.session import cut
+
+    e = cut(edges.select("source", "target").distinct())
+    none = F.lit(None).cast(e.schema["source"].dataType)
+    front = cut(numbered(start.select("id").distinct(), "id").select("id", F.lit(0).alias("level"), (F.col("ord") - 1).alias("ord"), none.alias("source")))
+    seen, visited, level = front, 0, 0
+    while fresh := front.count():
+        visited, level = visited + fresh, level + 1
+        reached = e.join(front.select(F.col("id").alias("source"), "ord"), "source").groupBy(F.col("target").alias("id")).agg(F.min("ord").alias("parent"), F.min_by("source", "ord").alias("source"))
+        new = numbered(reached.join(seen.select("id"), "id", "left_anti"), "parent", "id")
+        front = cut(new.select("id", F.lit(level).alias("level"), (F.col("ord") + (visited - 1)).alias("ord"), "source"))
+        seen = cut(seen.unionByName(front))
+    return seen
+
+
 def child_names(files: DataFrame) -> DataFrame:
     """module_id, name: the child segments below a module's common directory, by count then name, at most four, joined by '+'."""
     f = files.filter("module_id is not null").select("module_id", container(F.col("id")).alias("seg"))

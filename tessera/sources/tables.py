@@ -60,7 +60,7 @@ class Tables:
         return self.read("part").select(F.regexp_replace("p_brand", "#", "").alias("name"), F.col("p_size").cast("string").alias("version"))
 
     def chain(self) -> DataFrame:
-        """A multi-hop graph: parts of consecutive lines of an order, both returned, shipped late."""
-        late = self.read("lineitem").filter("l_returnflag = 'R' and l_shipdate >= timestamp'1997-06-01'").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
-        nxt = late.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("target"))
-        return late.join(nxt, ["l_orderkey", "l_linenumber"]).filter("part <> target").select(F.col("part").alias("source"), "target").distinct()
+        """A multi-hop graph: parts of consecutive lines of an order."""
+        lines = self.read("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
+        nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("target"))
+        return lines.join(nxt, ["l_orderkey", "l_linenumber"]).filter("part <> target").select(F.col("part").alias("source"), "target").distinct()
