@@ -427,7 +427,7 @@ def o1_node_order(t):
 
 @query("select source, target, row_number() over (order by source, target) as ord from edges where starts_with(source, 'ASIA/')")
 def o2_edge_order(t):
-    return edges(t).filter(F.col("source").startswith("ASIA/")).select("source", "target", F.row_number().over(Window.orderBy("source", "target")).alias("ord"))
+    return G.numbered(edges(t), "source", "target")
 
 
 @query("select region, row_number() over (order by case when region = 'external' then 2 when region = 'unassigned' then 1 else 0 end, region) as ord from (select distinct case when module_id is null then 'unassigned' else 'module-' || module_id end as region from files union select 'external')")

@@ -37,3 +37,25 @@ def test_chain_takes_the_first_edge_of_a_cycle(spark):
     edges = [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a"), ("c", "e"), ("x", "y")]
     got = G.chain(spark.createDataFrame(edges, "source string, target string"), spark.createDataFrame([("a",)], "id string"))
     assert [tuple(x) for x in got.orderBy("ord").select("id", "level", "ord", "source").collect()] == walked(edges, "a")
+
+
+def tables(spark, path):
+    """A small graph of three regions: files, symbols, packages, directories and externals."""
+    r = random.Random(9)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    put("region", [(0, "AFRICA"), (1, "AMERICA"), (2, "ASIA")], "r_regionkey int, r_name string")
+    put("nation", [(i, f"N{i}", i % 3) for i in range(6)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(k, k % 6) for k in range(1, 41)], "c_custkey long, c_nationkey int")
+    put("supplier", [(k, k % 6) for k in range(1, 13)], "s_suppkey long, s_nationkey int")
+    put("orders", [(o, r.randrange(1, 41)) for o in range(1, 81)], "o_orderkey long, o_custkey long")
+    put("part", [(p, f"Brand#{p % 7}", p % 3) for p in range(1, 31)], "p_partkey long, p_brand string, p_size int")
+    put("lineitem", [(o, n, r.randrange(1, 31), r.randrange(1, 13), "N") for o in range(1, 81) for n in range(1, 4)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+    return str(path)
+
+
+def test_all_edges_are_ordered(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    want = sorted({(x.source, x.target) for x in catalog.edges(catalog.Tables(spark, at)).collect()})
+    assert len({s.split("/")[0] for s, _ in want}) == 3
+    got = catalog.QUERIES["o2_edge_order"](spark, at).collect()
+    assert sorted((x.ord, x.source, x.target) for x in got) == [(i, *e) for i, e in enumerate(want, 1)]
