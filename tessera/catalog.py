@@ -422,7 +422,7 @@ def w6_v4_first_links(t):
 
 @query("select id, row_number() over (order by id) as ord from files")
 def o1_node_order(t):
-    return t.files().select("id", F.row_number().over(Window.orderBy("id")).alias("ord"))
+    return G.numbered(graph_nodes(t).select("id", "kind"), "id", "kind").select("id", "ord")
 
 
 @query("select source, target, row_number() over (order by source, target) as ord from edges where starts_with(source, 'ASIA/')")

@@ -59,3 +59,21 @@ def test_all_edges_are_ordered(spark, tmp_path):
     assert len({s.split("/")[0] for s, _ in want}) == 3
     got = catalog.QUERIES["o2_edge_order"](spark, at).collect()
     assert sorted((x.ord, x.source, x.target) for x in got) == [(i, *e) for i, e in enumerate(want, 1)]
+
+
+def test_nodes_of_all_kinds_are_ordered(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    nodes = catalog.graph_nodes(catalog.Tables(spark, at)).select("id", "kind").collect()
+    assert {x.kind for x in nodes} == {"package", "directory", "file", "symbol", "external"}
+    got = catalog.QUERIES["o1_node_order"](spark, at).collect()
+    assert sorted((x.ord, x.id) for x in got) == [(i, x) for i, (x, _) in enumerate(sorted((x.id, x.kind) for x in nodes), 1)]
+
+
+def test_numbers_run_on_over_range_partitions(spark):
+    given = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = G.numbered(spark.range(5000).selectExpr("(id * 7919) % 5000 as x", "id"), "x", "id")
+        assert got.rdd.getNumPartitions() > 1 and [(r.x, r.ord) for r in got.orderBy("x").collect()] == [(i, i + 1) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", given)
