@@ -452,8 +452,7 @@ def m2_undirected_graph(t):
 
 @query()
 def m3_louvain(t):
-    und = G.undirected(G.weights(edges(t))).withColumn("repo_id", F.element_at(F.split("a", "/"), 1))
-    return M.communities(und)
+    return M.communities(G.undirected(G.weights(edges(t))).withColumn("repo_id", F.lit("one")))
 
 
 @query(EMBED + ", deg as (select dir, sum(degree) as d from emb join files using (id) group by 1) select round((select sum(weight) from und join files x on x.id = a join files y on y.id = b where x.dir = y.dir) / (select sum(weight) from und) - (select sum(d * d) from deg) / (4 * power((select sum(weight) from und), 2)), 9) as q")

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from tessera import catalog
 from tessera.operators import graph as G
+from tessera.operators import modules as M
 
 
 def walked(edges, start):
@@ -77,3 +78,11 @@ def test_numbers_run_on_over_range_partitions(spark):
         assert got.rdd.getNumPartitions() > 1 and [(r.x, r.ord) for r in got.orderBy("x").collect()] == [(i, i + 1) for i in range(5000)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", given)
+
+
+def test_communities_are_of_the_whole_graph(spark, tmp_path):
+    at = tables(spark, tmp_path)
+    und = sorted(tuple(x) for x in G.undirected(G.weights(catalog.edges(catalog.Tables(spark, at)))).select("a", "b", "weight").collect())
+    assert any(a.split("/")[0] != b.split("/")[0] for a, b, _ in und)
+    got = catalog.QUERIES["m3_louvain"](spark, at).collect()
+    assert len({x.id for x in got}) == len(got) and {x.id: x.community for x in got} == M.louvain(*map(list, zip(*und, strict=True)))
