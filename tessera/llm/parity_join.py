@@ -326,7 +326,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     than size words is one shingle; null and empty texts have none and link with nothing, not even with each
     other. Repeated rows stay repeated. Null ids link like others and are never chosen unless a component
     has no other; its component_id is then null. Other columns are not read; an empty table gives none.
+    Bands and the hand-down to the smaller size band are made for 75 percent: a lower one is refused, as links would be lost.
     """
+    if percent < 75:
+        raise ValueError(f"percent is {percent}; below 75 links between sets of different size bands would be lost")
     spark = docs.sparkSession
     ship(spark)
     num, den = percent, 100

@@ -1,0 +1,13 @@
+"""Corpus operators on settings and shapes beyond those of the queries."""
+
+import pytest
+
+from tessera.llm import parity_join
+
+
+def test_parity_join_refuses_a_percent_it_would_lose_links_at(spark):
+    d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        parity_join.near_classes(d, percent=60)
+    with pytest.raises(ValueError):
+        parity_join.keep_one(d, percent=60)
