@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from tessera.plans.session import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) of every vertex that has an edge; comp is the smallest id of its component.
 
-    Each turn hooks every vertex to the smallest label among its neighbours and itself, then halves the
-    paths; the number of turns grows with the logarithm of the longest path. Labels only fall, so the sum of
-    changes reaches 0. Aggregates combine before the shuffle, so a vertex of very many edges is no hot spot.
+    Each turn hooks every label to the smallest label among its vertices' neighbours, then doubles the jumps
+    until every label is at the end of its hooks. Labels only fall, and turns go on until none can be
+    hooked, so the result is exact for any order of ids. Aggregates combine before the shuffle, so a vertex of very many edges is no hot spot.
     """
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
     label = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least")).select("id", F.least("id", "least").alias("comp")))
-    for _ in range(most):
+    while True:
         # of a label's neighbours by edges, the smallest label: hooks whole trees, not single vertices
         seen = both.join(label.select(F.col("id").alias("v"), F.col("comp").alias("other")), "v").groupBy(F.col("u").alias("id")).agg(F.min("other").alias("other"))
         hook = label.join(seen, "id").groupBy("comp").agg(F.min("other").alias("to")).filter("to < comp")
         if hook.isEmpty():
             break
         jump = cut(hook.select(F.col("comp").alias("c"), "to"))
-        for _ in range(2):
-            far = jump.select(F.col("c").alias("to"), F.col("to").alias("next"))
-            jump = jump.join(far, "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+        while not jump.join(jump.select(F.col("c").alias("to")), "to", "left_semi").isEmpty():
+            for _ in range(2):
+                far = jump.select(F.col("c").alias("to"), F.col("to").alias("next"))
+                jump = jump.join(far, "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+            jump = cut(jump)
         label = cut(label.join(jump, F.col("comp") == F.col("c"), "left").select("id", F.coalesce("to", "comp").alias("comp")))
     return label

@@ -6,6 +6,8 @@ joins are always an explode of a path's few ancestors and an equi-join, never a
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,14 +216,14 @@ def reconcile(files: DataFrame) -> DataFrame:
     return files.join(m, "dir", "left").select("id", F.when(F.col("module_id").isNull(), None).otherwise(F.coalesce("major", "module_id")).alias("module_id"))
 
 
-def levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id, level: breadth-first from start (id). A frontier and the visited set, each level cut from its lineage."""
     from tessera.plans.session import cut
 
     seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
     front = seen.select("id")
     e = cut(edges.select("source", "target").distinct())
-    for k in range(1, most):
+    for k in count(1):
         front = e.join(front, e.source == front.id).select(F.col("target").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         front = cut(front)
         if front.isEmpty():

@@ -3,6 +3,12 @@
 import pytest
 
 from tessera.llm import parity_join
+from tessera.llm.graph import components
+
+
+def test_components_of_a_long_path_of_ascending_ids(spark):
+    path = spark.range(400).selectExpr("id as a", "id + 1 as b")
+    assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(401)}
 
 
 def test_parity_join_refuses_a_percent_it_would_lose_links_at(spark):
