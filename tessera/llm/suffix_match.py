@@ -1,7 +1,7 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Every task sorts the suffixes of its documents, some megabytes (a shard) at a time, by their first 16 words
-(prefix doubling; only suffixes that still tie are sorted again), then binary-searches every benchmark
+Every task sorts the suffixes of its documents, some megabytes (a shard) at a time, by their first 16 words,
+or as many as the window has (prefix doubling; only suffixes that still tie are sorted again), then binary-searches every benchmark
 suffix in each shard. A found range lists all occurrences; occurrences in a row on one diagonal join to
 the longest verbatim match. There is no shuffle: documents never leave their task, and the benchmark, whose
 size is checked, goes to every task; a larger one goes in blocks of bounded size, one pass each.
@@ -61,8 +61,8 @@ def chain(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their first 16 codes, and the sorted codes of two. 0 ends a document."""
+def suffix_array(seq: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their first depth codes (or more), and the sorted codes of two. 0 ends a document."""
     n = len(seq)
     wide = seq.astype(np.uint64) << U(32)
     wide[:-1] |= seq[1:].astype(np.uint64)
@@ -72,7 +72,7 @@ def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     h = 2
-    while h < DEPTH:
+    while h < depth:
         tied = ~head
         tied[:-1] |= ~head[1:]
         slots = np.flatnonzero(tied)
@@ -134,7 +134,7 @@ def occurrences(block: Block, queries: Queries):
     owner = np.repeat(np.arange(block.n), words)
     seq = np.zeros(len(h) + block.n, dtype=np.uint32)
     seq[np.arange(len(h)) + owner] = codes(h)
-    order, pairs = suffix_array(seq)
+    order, pairs = suffix_array(seq, max([DEPTH, *queries.by_length]))
     home = np.cumsum(words + 1) - (words + 1)  # where each text begins in seq
     found = []
     for size, (code, exact, item, at) in queries.by_length.items():

@@ -1,8 +1,9 @@
 """Corpus operators on settings and shapes beyond those of the queries."""
 
+import numpy as np
 import pytest
 
-from tessera.llm import parity_join
+from tessera.llm import parity_join, suffix_match
 from tessera.llm.graph import components
 
 
@@ -17,3 +18,13 @@ def test_parity_join_refuses_a_percent_it_would_lose_links_at(spark):
         parity_join.near_classes(d, percent=60)
     with pytest.raises(ValueError):
         parity_join.keep_one(d, percent=60)
+
+
+def test_windows_longer_than_sixteen_words():
+    r = np.random.default_rng(3)
+    head = r.integers(1, 2**31, 20)
+    seq = np.concatenate([np.concatenate([head, r.integers(1, 2**31, 20), [0]]) for _ in range(200)]).astype(np.uint32)
+    order, pairs = suffix_match.suffix_array(seq, 30)
+    wanted = np.stack([seq[i * 41 : i * 41 + 30] for i in range(200)])
+    lo, hi = suffix_match.search(seq, order, pairs, wanted)
+    assert (hi - lo == 1).all() and (order[lo] == np.arange(200) * 41).all()
