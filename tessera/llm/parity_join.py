@@ -8,16 +8,20 @@ bands) is at most the size of the symmetric difference. At a similarity of t the
 d filled bands of one sketch at least one is equal in the other.
 
 k depends on the size band (powers of two) alone, and documents just above the boundary of a size band
-also send that band's sketch, so any two linked documents meet in the band of the smaller one.
+also send that band's sketch, so any two linked documents meet in the band of the smaller one. A pair is safe as
+soon as one of the two has more than d filled bands. Sets that have not (few, by the choice of k) could only miss each
+other; in addition to their bands they send every single shingle to each other, so no link rests on chance.
 
 1. map: texts to (band key, set id); equal sets have equal ids, so copies never multiply.
 2. one shuffle by key, packed, finds the keys that two different sets share. A set with more than d keys of
    its own has no partner; that is exact, and most sets end here.
-3. survivors keep their d + 1 rarest keys (prefix filter over the common order frequency, key).
-4. stars: of each key's sets, all are verified against one pivot. What a star joins is contracted; keys that
-   still hold several components give their pairs over components. Sets of frequent keys are compared by blocks
-   instead, bit sketches first (one bit a shingle, again a lower bound of the symmetric difference), and a block yields
-   no more links than it has sets.
+3. survivors keep their rarest keys (prefix filter over the common order frequency, key): d + 1 for one common key, and up
+   to MEET - 1 more, so that linked sets have as many keys in common within their prefixes.
+4. stars: of each key's sets, all are verified against one pivot, and what a star joins is contracted.
+5. keys that still hold several components give their pairs, counted. Pairs whose bit sketches (one bit a shingle, again a
+   lower bound of the symmetric difference) are too far apart are dropped before any set is fetched; of the
+   rest the closest pair of two components is verified first, and others only if it did not join them.
+   Sets of frequent keys are compared by blocks, bit sketches alone first, and a block yields no more links than it has sets.
 """
 
 from __future__ import annotations
@@ -30,12 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.graph import components
 from tessera.llm.text import SOLID, STEP, U, blocks, grams, mix
 from tessera.plans.session import discard, ship, table, width
 
 SMALL = 16
+#: Least bits of a bit sketch; a set of more than half as many shingles has two bits a shingle, rounded up to a power of two.
 SKETCH = 2048
+#: Keys that a linked pair has in common within the prefixes, where the number of bands allows it.
+MEET = 4
+#: Level of the single shingles that sets with too few filled bands send: that of their band and this.
+SINGLE = 32
 #: Sets of a key with more sets than this are compared by blocks.
 CROWD = 64
 #: Sets (8 bytes each) whose ids are broadcast at most.
@@ -44,9 +54,14 @@ FLUSH = 1 << 20
 
 
 def bands(level: np.ndarray) -> np.ndarray:
-    """Bands of a size band; sizes from s = 16 * 2**(level-1). Chosen so that filled bands outnumber d by 7 sigma or more."""
+    """Bands of a size band; sizes from s = 16 * 2**(level-1). Chosen so that filled bands outnumber d in nearly all sets."""
     s = SMALL << (level - 1)
-    return np.where(s < 128, 4 * s, (11 * s) // 10)
+    return np.where(s < 128, 4 * s, (4 * s) // 5)
+
+
+def allowed(n, own, num: int, den: int):
+    """Largest symmetric difference of a set of n shingles and a partner: in its own size band, or in the one below (the partner is smaller)."""
+    return np.where(own, (n + n * den // num) * (den - num) // (den + num), 2 * n * (den - num) // (den + num))
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -107,7 +122,7 @@ def sketch_keys(g: np.ndarray, owner: np.ndarray, level: np.ndarray):
     return key, owner[filled], level[filled]
 
 
-def _deal(size: int, targets: np.ndarray, ids: bool):
+def _deal(size: int, targets: np.ndarray, num: int, den: int):
     """Mapper: packed keys for each target partition, and the ids and sizes of all documents."""
     n = len(targets)
 
@@ -123,9 +138,9 @@ def _deal(size: int, targets: np.ndarray, ids: bool):
                 return
             key, sid, level = (np.concatenate(x) for x in zip(*held, strict=True))
             held, count = [], 0
-            # 6 bits of level, then 42 of hash; the partition comes from other bits
+            # 6 bits of level, then 34 of hash; the partition comes from other bits
             part = (key & U(0xFFFFFF)) % U(n)
-            code = (level.astype(np.uint64) << U(42)) | (key >> U(22))
+            code = (level.astype(np.uint64) << U(34)) | (key >> U(30))
             order = np.argsort(part, kind="stable")
             part, code, sid = part[order], code[order], sid[order]
             ends = np.searchsorted(part, np.arange(n + 1))
@@ -134,8 +149,8 @@ def _deal(size: int, targets: np.ndarray, ids: bool):
                 c, s = code[ends[p] : ends[p + 1]], sid[ends[p] : ends[p + 1]]
                 head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 runs = np.diff(np.append(head, len(s))).astype(np.int32)
-                six = np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                out.append((int(targets[p]), 1, six, s[head].tobytes(), runs.tobytes()))
+                five = np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                out.append((int(targets[p]), 1, five, s[head].tobytes(), runs.tobytes()))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -153,14 +168,20 @@ def _deal(size: int, targets: np.ndarray, ids: bool):
                 filled = np.zeros((b.n, 2), dtype=np.int32)
                 # just above a boundary: within 4/3 of the start of its size band
                 low = fresh & (level > 0) & (4 * (SMALL << np.maximum(level - 1, 0)) > 3 * n_set)
+                every = np.repeat(np.arange(b.n), n_set)
                 for which, chosen, lv in ((0, fresh, level), (1, low, level - 1)):
-                    each = np.repeat(chosen, n_set)
+                    each = chosen[every]
                     if each.any():
-                        own = np.repeat(np.arange(b.n), n_set)[each]
+                        own = every[each]
                         key, owner, at = sketch_keys(g[each], own, lv[own])
                         filled[:, which] = np.bincount(owner, minlength=b.n)
                         held.append((key, sid[owner], at))
                         count += len(key)
+                        weak = chosen & (filled[:, which] <= allowed(n_set.astype(np.int64), which == 0, num, den))
+                        if weak.any():
+                            one = weak[every]
+                            held.append((mix(g[one] ^ STEP[8]), sid[every[one]], lv[every[one]] + SINGLE))
+                            count += int(one.sum())
                 turn += 1
                 ident = doc.slice(b.first, b.n)
                 meta = np.column_stack([n_set.astype(np.int32), filled, ident.is_null().to_numpy(zero_copy_only=False).astype(np.int32)])
@@ -192,9 +213,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols = [pa.array(np.zeros(n, np.int32)), pa.array(np.frombuffer(a, np.int64), mask=meta[:, 3] == 1), pa.array(np.frombuffer(b, np.int64)), *(pa.array(np.ascontiguousarray(meta[:, i])) for i in range(3)), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
             else:
-                six = np.frombuffer(a, dtype=np.uint8).reshape(-1, 6)
-                k = np.zeros((len(six), 8), dtype=np.uint8)
-                k[:, :6] = six
+                five = np.frombuffer(a, dtype=np.uint8).reshape(-1, 5)
+                k = np.zeros((len(five), 8), dtype=np.uint8)
+                k[:, :5] = five
                 keys.append(k.view(np.uint64).ravel())
                 sids.append(np.repeat(np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)))
     if not keys:
@@ -218,33 +239,49 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     cnt = np.repeat(np.diff(np.append(head, len(key))), np.diff(np.append(head, len(key)))).astype(np.int32)
     key, sid, cnt = key[cnt > 1], sid[cnt > 1], cnt[cnt > 1]
-    level = (key >> U(42)).astype(np.int32)
-    # the partition is part of a key: its number goes above the 42 bits of hash
-    name = (np.uint64(part) << U(42) | key & U((1 << 42) - 1)).view(np.int64)
+    level = (key >> U(34)).astype(np.int32)
+    # the partition is part of a key: its number goes above the 40 bits of level and hash
+    name = (np.uint64(part) << U(40) | key).view(np.int64)
     for i in range(0, len(key), 100_000):
         j = slice(i, i + 100_000)
         n = len(key[j])
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none(n, pa.int64()), pa.array(sid[j]), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.int32()), pa.array(name[j]), pa.array(cnt[j]), pa.array(level[j])], schema=schema)
 
 
+def bits_of(n: int) -> int:
+    """Bits of the sketch of a set of n shingles."""
+    return max(SKETCH, 1 << int(2 * n - 1).bit_length()) if n else SKETCH
+
+
+def fold(sketch: np.ndarray, width: int) -> np.ndarray:
+    """A wider sketch (packed bytes, last axis) as one of width bytes: the parity of its halves, again and again."""
+    while sketch.shape[-1] > width:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def _gather(size: int):
-    """Sets and bit sketches of the documents that are left."""
+    """Sets and bit sketches of the documents that are left; a task gives each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in blocks(batch.column(0)):
                 g, index = sets(b, size)
                 sid, n = set_ids(g, index), np.diff(index)
-                bit = (mix(g ^ STEP[9]) % U(SKETCH)).astype(np.int64)
-                packed = []
-                for i in range(0, b.n, 256):  # a few texts at a time: a sketch is wide before it is packed
-                    j = min(i + 256, b.n)
-                    part = bit[index[i] : index[j]] + SKETCH * np.repeat(np.arange(j - i), n[i:j])
-                    packed.append(np.packbits((np.bincount(part, minlength=(j - i) * SKETCH).reshape(j - i, SKETCH) & 1).astype(np.uint8), axis=1))
-                packed = np.concatenate(packed)
-                keep = n > 0
+                keep = []
+                for i, x in enumerate(sid.tolist()):
+                    if n[i] and x not in seen:
+                        seen.add(x)
+                        keep.append(i)
+                bits = []
+                for i in keep:
+                    wide = bits_of(int(n[i]))
+                    at = (mix(g[index[i] : index[i + 1]] ^ STEP[9]) & U(wide - 1)).astype(np.int64)
+                    bits.append(np.packbits((np.bincount(at, minlength=wide) & 1).astype(np.uint8)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[keep]), pa.array(n[keep].astype(np.int32)), pa.array([g[index[i] : index[i + 1]].tobytes() for i in np.flatnonzero(keep)], pa.binary()), pa.array([packed[i].tobytes() for i in np.flatnonzero(keep)], pa.binary())],
+                    [pa.array(sid[keep], pa.int64()), pa.array(n[keep].astype(np.int32), pa.int32()), pa.array([g[index[i] : index[i + 1]].tobytes() for i in keep], pa.binary()), pa.array(bits, pa.binary())],
                     names=["sid", "n", "items", "bits"],
                 )
 
@@ -270,6 +307,55 @@ def _verify(num: int, den: int):
     return run
 
 
+def _close(num: int, den: int):
+    """Pairs that their bit sketches allow to be linked, with the distance of the sketches. Columns: a, b, n, m, p, q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = batch.column(4), batch.column(5)
+            far = np.zeros(batch.num_rows, dtype=np.int64)
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(p[i].as_buffer(), np.uint8), np.frombuffer(q[i].as_buffer(), np.uint8)
+                w = min(len(x), len(y))
+                far[i] = np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            mask = pa.array(far * (den + num) <= (den - num) * both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(far.astype(np.int32)).filter(mask)], names=["a", "b", "far"])
+
+    return run
+
+
+def _grid(bits, n: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the pairs of different components, of sets in a block, that sizes and sketches allow; sketches of one width at a time."""
+    raw = [np.frombuffer(x, np.uint8) for x in bits]
+    width = np.array([len(x) for x in raw])
+    out = []
+    for w in np.unique(width):
+        # linked sets differ by a third in size at most, so by one step in width
+        a, b = np.flatnonzero(width == w), np.flatnonzero((width == w) | (width == 2 * w))
+        x = np.unpackbits(np.stack([raw[i] for i in a]), axis=1).astype(np.float32)
+        y = np.unpackbits(np.stack([fold(raw[i], int(w)) for i in b]), axis=1).astype(np.float32)
+        far = x.sum(1)[:, None] + y.sum(1)[None] - 2 * (x @ y.T)
+        m, k = n[a][:, None], n[b][None]
+        ok = (far * (den + num) <= (den - num) * (m + k)) & (den * np.minimum(m, k) >= num * np.maximum(m, k)) & (comp[a][:, None] != comp[b][None])
+        i, j = np.nonzero(ok)
+        out.append((a[i], b[j], far[i, j]))
+    i, j, far = (np.concatenate(x) for x in zip(*out, strict=True))
+    once = (i < j) | (width[i] != width[j])
+    return i[once], j[once], far[once]
+
+
+def _suspect(num: int, den: int):
+    """Of two blocks of a crowd's sets those that sketches alone allow a partner of another component."""
+
+    def run(pdf):
+        pdf = pdf.drop_duplicates("sid").sort_values("sid")
+        i, j, _ = _grid(pdf.bits, pdf.n.to_numpy().astype(np.int64), pdf.comp.to_numpy(), num, den)
+        return pdf.iloc[np.unique(np.concatenate([i, j]))][["crowd", "i", "j", "sid", "n", "comp"]]
+
+    return run
+
+
 def _blocked(num: int, den: int):
     """Links over components between two blocks of a crowd's sets: a spanning forest of them, so no more rows than sets.
 
@@ -280,13 +366,9 @@ def _blocked(num: int, den: int):
         import pandas as pd
 
         pdf = pdf.drop_duplicates("sid").sort_values("sid")
-        grid = np.unpackbits(np.frombuffer(b"".join(pdf.bits), np.uint8).reshape(len(pdf), -1), axis=1).astype(np.float32)
-        ones = grid.sum(1)
-        far = ones[:, None] + ones[None] - 2 * (grid @ grid.T)
         n, comp = pdf.n.to_numpy().astype(np.int64), pdf.comp.to_numpy()
-        ok = (far * (den + num) <= (den - num) * (n[:, None] + n[None])) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None])) & (comp[:, None] < comp[None])
-        i, j = np.nonzero(ok)
-        order = np.argsort(far[i, j], kind="stable")
+        i, j, far = _grid(pdf.bits, n, comp, num, den)
+        order = np.argsort(far, kind="stable")
         top = {c: c for c in comp.tolist()}
 
         def find(c):
@@ -333,59 +415,75 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     num, den = percent, 100
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     n = width(spark)
-    dealt = src.mapInArrow(_deal(size, _targets(spark, n), True), "bucket int, kind int, a binary, b binary, c binary").repartition(n, "bucket").drop("bucket")
-    met, met_at = table(dealt.mapInArrow(_meet, _SHARED), "parity-met")
+    dealt = src.mapInArrow(_deal(size, _targets(spark, n), num, den), "bucket int, kind int, a binary, b binary, c binary").repartition(n, "bucket").drop("bucket")
+    used: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, at = table(df, name)
+        used.append(at)
+        return out
+
+    met = kept(dealt.mapInArrow(_meet, _SHARED), "parity-met")
     meta = met.filter("kind = 0").select("doc_id", "sid", "n", "own", "low")
-    shared = met.filter("kind = 1").select("sid", "key", "cnt", "level")
+    shared = met.filter("kind = 1").select("sid", "key", "cnt", F.col("level").cast("byte").alias("level"))
     # one row for each different set; copies of a text met by another task have 0 filled bands there or the same number
     classes = meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low"))
     mine = F.when(F.col("n") < SMALL, 0).otherwise((F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)) / SMALL) + 1e-9) + 1).cast("int"))
     as_small = F.expr(f"cast((n + (n * {den}) div {num}) * {den - num} div {den + num} as int)")
     as_large = F.expr(f"cast((2 * n) * {den - num} div {den + num} as int)")
     held = shared.groupBy("sid", "level").agg(F.count("*").cast("int").alias("s"))
-    alive, alive_at = table(
+    own = F.col("level") % SINGLE == F.col("mine")
+    # m: keys that were sent; s: those of them that others have, too; d: how many a partner may lack
+    spare = F.col("m") - F.col("d")
+    alive = kept(
         held.join(classes, "sid")
         .withColumn("mine", mine)
-        .withColumn("m", F.when(F.col("level") == F.col("mine"), F.col("own")).otherwise(F.col("low")))
-        .withColumn("d", F.when(F.col("level") == F.col("mine"), as_small).otherwise(as_large))
+        .withColumn("m", F.when(F.col("level") >= SINGLE, F.col("n")).when(own, F.col("own")).otherwise(F.col("low")))
+        .withColumn("d", F.when(own, as_small).otherwise(as_large))
         .filter("m - s <= d")
-        .select("sid", "level", "rep", "n", (F.col("d") + 1 - (F.col("m") - F.col("s"))).alias("keep")),
+        .withColumn("meet", F.greatest(F.lit(1), F.least(F.lit(MEET), spare)))
+        .select("sid", "level", "rep", "n", "meet", (F.col("d") + F.col("meet") - (F.col("m") - F.col("s"))).alias("keep")),
         "parity-alive",
     )
     order = Window.partitionBy("sid", "level").orderBy("cnt", "key")
-    prefix, prefix_at = table(
-        shared.join(alive, ["sid", "level"]).withColumn("r", F.row_number().over(order)).filter("r <= keep").select("sid", "key", "level", "n"), "parity-prefix"
-    )
-    left = prefix.select("sid").distinct()
-    reps = alive.join(left, "sid", "left_semi").select(F.coalesce("rep", F.lit(-(2**63))).alias("at")).distinct()
-    few = reps.limit(NEAR + 1).count() <= NEAR
-    chosen = src.join(F.broadcast(reps) if few else reps, F.coalesce("doc_id", F.lit(-(2**63))) == F.col("at"), "left_semi").select("text")
-    items, items_at = table(chosen.mapInArrow(_gather(size), "sid long, n int, items binary, bits binary").join(F.broadcast(left) if few else left, "sid", "left_semi").dropDuplicates(["sid"]), "parity-items")
+    prefix = kept(shared.join(alive, ["sid", "level"]).withColumn("r", F.row_number().over(order)).filter("r <= keep").select("sid", "key", "level", "n", "meet"), "parity-prefix")
+    reps = alive.select(F.coalesce("rep", F.lit(-(2**63))).alias("at"))
+    left = alive.select("sid")
+    chosen = src.join(_small(reps), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("at"), "left_semi").select("text")
+    items = kept(chosen.mapInArrow(_gather(size), "sid long, n int, items binary, bits binary").join(_small(left), "sid", "left_semi"), "parity-items")
     edges: list[DataFrame] = []
-    tables = [met_at, alive_at, prefix_at, items_at]
     label = None
     for turn in range(2):
-        star = _stars(prefix, label, turn, num, den)
-        found, at = table(_checked(star, items, num, den), "parity-star")
-        tables.append(at)
-        edges.append(found)
-        label, at = table(components(_all(edges)), "parity-label")
-        tables.append(at)
-    pairs, links = _rest(prefix, label, items, num, den)
-    found = _checked(pairs, items, num, den)
-    found, at = table(found if links is None else found.unionByName(links), "parity-rest")
-    edges.append(found)
-    label = components(_all(edges))
-    named = classes.select("sid", "rep").join(label.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(least, "comp").select("sid", "component_id")
+        star = kept(_stars(prefix, label, turn, num, den), "parity-star")
+        edges.append(kept(_checked(star, items, num, den), "parity-linked"))
+        label = kept(components(_all(edges)), "parity-label")
+    pairs, crowds = _rest(prefix, label, items, num, den, kept)
+    if crowds is not None:
+        edges.append(crowds)
+        label = kept(components(_all(edges)), "parity-label")
+    apart = kept(_apart(pairs, label), "parity-apart")
+    if apart.count():
+        # the closest pair of any two components first: what it joins needs no other
+        first = kept(apart.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b"), "parity-first")
+        edges.append(kept(_checked(first, items, num, den), "parity-linked"))
+        label = kept(components(_all(edges)), "parity-label")
+        again = kept(_apart(apart.join(first, ["a", "b"], "left_anti"), label).select("a", "b"), "parity-again")
+        if again.count():
+            edges.append(kept(_checked(again, items, num, den), "parity-linked"))
+            label = kept(components(_all(edges)), "parity-label")
+    # only sets with a link have a label; a component of very many is dealt over salts
+    salts = 16
+    linked = label.withColumnRenamed("id", "sid").join(classes.select("sid", "rep"), "sid")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    of_set = linked.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int")).join(least, ["comp", "salt"]).select("sid", "component_id", F.lit(True).alias("linked"))
+    named = classes.select("sid", "rep").join(of_set, "sid", "left").select("sid", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
     result, _ = table(
-        meta.join(of_set, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")),
+        meta.join(named, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")),
         "parity-classes",
     )
-    for p in [*tables, at]:
+    for p in used:
         discard(spark, p)
     return result
 
@@ -397,78 +495,102 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df (columns of a written table), to be broadcast if it has at most NEAR rows of a few numbers; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= NEAR else df
+
+
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _labelled(prefix: DataFrame, label: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, label: DataFrame | None, sid: str = "sid", comp: str = "comp") -> DataFrame:
     if label is None:
-        return prefix.withColumn("comp", F.col("sid"))
-    return prefix.join(label.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        return rows.withColumn(comp, F.col(sid))
+    return rows.join(_small(label.select(F.col("id").alias(sid), F.col("comp").alias(comp))), sid, "left").withColumn(comp, F.coalesce(comp, sid))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b, far, ca, cb: pairs of two components still."""
+    return _labelled(_labelled(pairs.select("a", "b", "far"), label, "a", "ca"), label, "b", "cb").filter("ca <> cb")
 
 
 def _stars(prefix: DataFrame, label: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
     """For each set one pair: with the pivot of another component that most of its keys name."""
     rows = _labelled(prefix, label)
     pick = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), "sid", "comp", "n")
-    pivots = rows.groupBy("key", "level").agg(F.min(pick).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "level", "p")
-    named = rows.join(pivots, ["key", "level"]).filter((F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), num, den))
+    pivots = rows.groupBy("key").agg(F.min(pick).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "p")
+    named = rows.join(pivots, "key").filter((F.col("p.comp") != F.col("comp")) & _fits(F.col("n"), F.col("p.n"), num, den))
     votes = named.groupBy("sid", F.col("p.sid").alias("pivot")).agg(F.count("*").alias("c"))
-    best = votes.groupBy("sid").agg(F.max(F.struct("c", "pivot")).alias("b"))
-    return best.select(F.least("sid", F.col("b.pivot")).alias("a"), F.greatest("sid", F.col("b.pivot")).alias("b")).distinct()
+    best = votes.groupBy("sid").agg(F.max(F.struct("c", "pivot")).alias("b")).select("sid", F.col("b.pivot").alias("pivot"))
+    # two that name each other are one pair
+    return best.groupBy(F.least("sid", "pivot").alias("x"), F.greatest("sid", "pivot").alias("y")).agg(F.min("sid").alias("a"), F.min_by("pivot", "sid").alias("b")).select("a", "b")
 
 
-def _rest(prefix: DataFrame, label: DataFrame, items: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """What different components still have in common: pairs of rarer keys, to be verified, and the links found within crowds.
+def _rest(prefix: DataFrame, label: DataFrame, items: DataFrame, num: int, den: int, kept) -> tuple[DataFrame, DataFrame | None]:
+    """What different components still have in common: pairs (a, b, far) by rarer keys that sketches allow, and the links found within crowds.
 
-    The sets of keys with more than CROWD sets are gathered by crowds (what such keys connect), so that a pair that
-    shares many keys is met once; a crowd is worked off by pairs of blocks of 4 * CROWD sets.
+    A linked pair has as many keys in common as the smaller of its sets' meet. Those of rarer keys are counted here. If one of them is
+    a key with more than CROWD sets, both sets are in the same crowd (all that such keys connect), whose sets are compared by pairs
+    of blocks of 4 * CROWD.
     """
     rows = _labelled(prefix, label)
-    sizes = rows.groupBy("key", "level").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("hub")).filter("lo <> hi").select("key", "level", "g", "hub")
-    open_, _ = table(rows.join(sizes, ["key", "level"]), "parity-open")
-    few = open_.filter(F.col("g") <= CROWD)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("hub")).filter("lo <> hi").select("key", "g", "hub")
+    open_ = kept(rows.join(sizes, "key"), "parity-open")
+    bits = items.select("sid", "n", "bits")
+    few = open_.filter(F.col("g") <= CROWD).select("key", "sid", "level", "n", "comp", "meet")
     x, y = few.alias("x"), few.alias("y")
     pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.sid") < F.col("y.sid")))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")))
         .filter((F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), num, den))
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        .groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.level").alias("level"))
+        .agg(F.count("*").alias("c"), F.min(F.least("x.meet", "y.meet")).alias("meet"))
+        .filter("c >= meet")
+        .select("a", "b")
         .distinct()
     )
+    p, q = bits.select(F.col("sid").alias("a"), "n", F.col("bits").alias("p")), bits.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q"))
+    pairs = kept(pairs.join(p, "a").join(q, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_close(num, den), "a long, b long, far int"), "parity-close")
     many = open_.filter(F.col("g") > CROWD)
     if many.isEmpty():
         return pairs, None
+    # every set of such a key with the key's hub
     crowd = components(many.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"id": "sid", "comp": "crowd"})
-    member, _ = table(many.select("sid", "n", "comp").distinct().join(crowd, "sid"), "parity-crowd")
+    member = kept(many.select("sid", "n", "comp").distinct().join(crowd, "sid"), "parity-crowd")
     parts = member.groupBy("crowd").agg(F.ceil(F.count("*") / (4 * CROWD)).cast("int").alias("parts"))
     dealt = member.join(parts, "crowd").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    links = dealt.join(items.select("sid", "items", "bits"), "sid").select("crowd", "i", "j", "sid", "n", "comp", "items", "bits").groupBy("crowd", "i", "j").applyInPandas(_blocked(num, den), "a long, b long")
-    return pairs, links
+    dealt = dealt.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sid", "n", "comp")
+    names = ["crowd", "i", "j", "sid", "n", "comp"]
+    suspect = kept(dealt.join(bits.drop("n"), "sid").select(*names, "bits").groupBy("crowd", "i", "j").applyInPandas(_suspect(num, den), "crowd long, i int, j int, sid long, n int, comp long"), "parity-suspect")
+    links = suspect.join(items.select("sid", "items", "bits"), "sid").select(*names, "items", "bits").groupBy("crowd", "i", "j").applyInPandas(_blocked(num, den), "a long, b long")
+    return pairs, kept(links, "parity-crowd-links")
 
 
 def _checked(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame:
+    """The linked ones of pairs (a, b). Sets that no pair names stay where they are; those of a meet those of b by one shuffle where the pairs are few enough to be broadcast."""
     x = items.select(F.col("sid").alias("a"), F.col("items").alias("p"))
-    y = items.select(F.col("sid").alias("b"), F.col("items").alias("q"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(_verify(num, den), "a long, b long")
+    y = items.select(F.col("sid").alias("b"), F.col("items").alias("q")).join(_small(pairs.select("b")), "b", "left_semi")
+    return x.join(_small(pairs.select("a", "b")), "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(_verify(num, den), "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """docs without all but one document of each component: the one of the smallest id (null ids last; of repeated rows, one).
 
     Documents without words are in no group and stay, whatever their ids. An id that several texts share goes only with those
-    of its rows that are linked to a kept one. All columns of docs are kept.
+    of its rows that are linked to a kept one. All columns of docs are kept, whatever their names.
     """
-    odd = docs.groupBy(F.col(id_col).alias("_id")).count().filter("_id is null or count > 1")
+    key = quoted(id_col)
+    odd = docs.select(key.alias("_id")).groupBy("_id").count().filter("_id is null or count > 1")
     if odd.isEmpty():
         found = near_classes(docs, id_col, text_col, size, percent)
-        lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-        return docs.join(lost, F.col(id_col) == F.col("_gone"), "left_anti")
+        gone = unused(docs, "_gone")
+        lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(gone))
+        return docs.join(_small(lost), key == F.col(gone), "left_anti")
     # Ids do not tell rows apart: rows are numbered in a written table, so that a lost task cannot number them anew.
-    rows, _ = table(docs.select(F.struct(*docs.columns).alias("_all")).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    rows, _ = table(docs.select(whole(docs).alias("_all")).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     found = near_classes(rows.select("_row", F.col(f"_all.`{text_col}`").alias("_text")), "_row", "_text", size, percent).filter("n_shingles > 0")
     ids = rows.select("_row", F.col(f"_all.`{id_col}`").alias("_id"))
     placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
     first = placed.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
     lost = placed.join(first, "component_id").filter("_row <> _first").select("_row")
-    return rows.join(lost, "_row", "left_anti").select("_all.*")
+    return rows.join(_small(lost), "_row", "left_anti").select("_all.*")
