@@ -20,17 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, repeats that load (no effect), takes exact copies away again and revises texts that tidying changes."""
+    """Loads all documents, repeats that load (no effect), takes exact copies away again (one count of every text stays) and revises texts that tidying changes."""
     docs = read(spark, sf_dir, "documents")
     rollup = Rollup(spark, f"{scratch(spark)}/tessera/rollup-{uuid.uuid4().hex}")
     version = "byte_bpe_50k/1"
     rollup.commit("load", counted(docs, version))
     rollup.commit("load", counted(docs, version))
-    live = rollup.live()
-    first = live.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("text_key", "first")
-    rollup.commit("copies", rollup.deletion(live.join(first, "text_key").filter("doc_id <> first").select("doc_id")))
-    untidy = docs.filter(tidy(F.col("text")) != F.col("text")).join(rollup.live().select("doc_id").distinct(), "doc_id", "left_semi")
-    rollup.commit("tidied", rollup.revision(untidy.withColumn("text", tidy(F.col("text"))), version))
+    rollup.commit("copies", rollup.copies())
+    untidy = docs.select("doc_id", "source", "lang", F.col("text").alias("old"), tidy(F.col("text")).alias("text")).filter("text <> old")
+    rollup.commit("tidied", rollup.revision(untidy, version, old="old"))
     return rollup.totals()
 
 

@@ -60,12 +60,16 @@ def counted(docs: DataFrame, version: str, path: str = VOCABULARY, sign: int = 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "text_key", "n_tokens"])
 
     text = F.col(text_col).cast("string")
-    key = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), key.alias("text_key"), text.alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key(text).alias("text_key"), text.alias("text"))
     out = src.mapInArrow(run, "doc_id long, source string, lang string, text_key string, n_tokens long")
     return out.select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens", "text_key", F.lit(sign).alias("sign"))
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
 class Rollup:
     """The batches under one folder, which driver and executors share."""
 
@@ -105,14 +109,43 @@ class Rollup:
         return rows.groupBy("doc_id", *GROUP, "n_tokens", "text_key").agg(F.sum("sign").cast("int").alias("times")).filter("times <> 0")
 
     def deletion(self, which: DataFrame) -> DataFrame:
-        """Ledger rows that take away every live count of the ids in which (one column doc_id)."""
-        ids = which.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone = self.live().join(ids, "doc_id", "left_semi")
-        return gone.select("doc_id", *GROUP, "n_tokens", "text_key", (-F.col("times")).alias("sign"))
-
-    def revision(self, docs: DataFrame, version: str, path: str = VOCABULARY) -> DataFrame:
-        """Ledger rows that put the counts of docs in place of what their ids have now."""
-        return self.deletion(docs).unionByName(counted(docs, version, path))
+        """Ledger rows that take away every live count that agrees with a row of which in the columns it has.
+
+        which has doc_id and, where only some of an id's texts are meant, text_key or others of the ledger. Nulls agree with nulls.
+        """
+        on = [c for c in ("doc_id", *GROUP, "text_key") if c in which.columns]
+        live, w = self.live().alias("live"), which.select(*(F.col(c).alias(f"w_{c}") for c in on))
+        w = w.withColumn("w_doc_id", F.col("w_doc_id").cast("long")).distinct()
+        same = [F.col(f"live.{c}").eqNullSafe(F.col(f"w_{c}")) for c in on]
+        return self.taken(live.join(w, same, "left_semi"))
+
+    @staticmethod
+    def taken(rows: DataFrame) -> DataFrame:
+        """Ledger rows that take away live rows, as often as times says."""
+        return rows.select("doc_id", *GROUP, "n_tokens", "text_key", (-F.col("times")).cast("int").alias("sign"))
+
+    def copies(self) -> DataFrame:
+        """Ledger rows that leave one count of every text: that of the smallest id (null ids last), then source, language and version.
+
+        A text that very many documents share is dealt over salts.
+        """
+        salts = 16
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *GROUP)
+        live = self.live().withColumn("at", order)
+        first = live.groupBy("text_key").agg(F.min("at").alias("first"), F.sum("times").alias("all")).filter(F.col("all") > 1)
+        first = first.select(F.col("text_key").alias("k"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        met = live.withColumn("salted", F.pmod(F.xxhash64("doc_id", *GROUP), F.lit(salts)).cast("int")).join(first, (F.col("text_key") == F.col("k")) & (F.col("salted") == F.col("salt")))
+        return self.taken(met.withColumn("times", F.col("times") - F.col("at").eqNullSafe(F.col("first")).cast("int")).filter("times > 0"))
+
+    def revision(self, docs: DataFrame, version: str, path: str = VOCABULARY, old: str | None = None) -> DataFrame:
+        """Ledger rows that put the counts of docs in place of what their ids have now; with old, a column of docs that holds the text
+        as it was counted, only in place of that text's counts. Rows whose old text is not counted add nothing then."""
+        if old is None:
+            return self.deletion(docs.select("doc_id")).unionByName(counted(docs, version, path))
+        keyed = docs.withColumn("text_key", text_key(F.col(old)))
+        there = self.live().select(*(F.col(c).alias(f"l_{c}") for c in ("doc_id", "text_key"))).distinct()
+        now = keyed.join(there, [F.col("doc_id").eqNullSafe(F.col("l_doc_id")), F.col("text_key") == F.col("l_text_key")], "left_semi").dropDuplicates(["doc_id", "source", "lang", "text_key"])
+        return self.deletion(now.select("doc_id", "text_key")).unionByName(counted(now, version, path))
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens of all committed batches; groups that have come to nothing are left out."""
