@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.session import discard, table
+from tessera.llm.columns import quoted
+from tessera.plans.session import table
 
 # Possessive forms of the plain patterns (no position can match later in a run of a class in which its start failed),
 # so that long runs of digits or letters cost no more than their length. \G allows a start right behind the last match.
@@ -27,16 +28,42 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENT, SEEDS, SMOOTH = 3, 0.8, 8, 2.0
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunked(values: Column) -> Column:
+    """An array in pieces of about the square root of its length, so that arrays grown element by element stay short."""
+
+    def cut(v):
+        m = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / m).cast("int") - 1), lambda k: F.slice(v, k * m + 1, m))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, cut(v)))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<b, e, v>>: begin, end (exclusive, in code points) and text of each match, in order."""
+    """array<struct<b, e, v>>: begin, end (exclusive, in code points) and text of each match, in order.
+
+    The lengths of what lies between matches are added up within chunks, and chunks are placed by the sums of those before.
+    """
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int,v:string>>").alias("out"))
-    step = lambda s, x: F.struct(
-        (s["at"] + F.length(x["p"]) + F.length(x["v"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["p"])).alias("b"), (s["at"] + F.length(x["p"]) + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
+    pairs = let(values, lambda v: F.zip_with(F.slice(pieces, 1, F.size(v)), v, lambda p, x: F.struct(F.length(p).alias("p"), F.length(x).alias("n"), x.alias("v"))))
+    begin = lambda chunk, at: F.aggregate(
+        chunk,
+        F.struct(at.alias("at"), none().alias("out")),
+        lambda s, x: F.struct((s["at"] + x["p"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("b"), (s["at"] + x["p"] + x["n"]).alias("e"), x["v"].alias("v")))).alias("out")),
+        lambda s: s["out"],
     )
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda s, x: s + x["p"] + x["n"])
+    starts = lambda chunks: F.aggregate(
+        F.transform(chunks, total),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        lambda s: s["out"],
+    )
+    return F.coalesce(let(chunked(pairs), lambda c: F.flatten(F.zip_with(c, starts(c), begin))), none())
 
 
 def none() -> Column:
@@ -76,21 +103,35 @@ def _shown(kind: str, spans: Column) -> Column:
 
 
 def tokens(text: Column, seeds: Column) -> Column:
-    """array<struct<pattern, item, b, e, seed>>: tokens with a digit or "@", the word before each, whether it meets a base span."""
-    pieces, found = F.split(text, TOKEN, -1), located(text, TOKEN)
+    """array<struct<pattern, item, b, e, seed>>: tokens with a digit or "@", a word next to each, whether it meets a base span.
+
+    The pattern is the word before; behind a bare mark that mark; behind another such token or at the start of the text the word that follows.
+    """
     trim = lambda c: F.regexp_replace(c, r"^[^\p{L}\p{N}+@(]+|[^\p{L}\p{N})]+$", "")
-    before = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"(\S+)\s*$", 1), r"[^\p{L}\p{N}=:#-]", ""))
-    paired = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
-    return F.transform(
-        paired,
-        lambda x: F.struct(
-            before(x["p"]).alias("pattern"),
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}=:#-]", ""))
+    last, next_ = lambda p: F.regexp_extract(p, r"(\S+)\s*$", 1), lambda p: F.regexp_extract(p, r"^\s*(\S+)", 1)
+
+    def pattern(p, after):
+        return F.when(plain(last(p)) != "", plain(last(p))).when(last(p) != "", last(p)).otherwise(F.concat(F.lit(">"), plain(next_(after))))
+
+    def token(x, near):
+        head = F.length(F.regexp_extract(x["s"]["v"], r"^[^\p{L}\p{N}+@(]*", 0))
+        return F.struct(
+            pattern(x["p"], x["q"]).alias("pattern"),
             F.lower(trim(x["s"]["v"])).alias("item"),
-            (x["s"]["b"] + F.length(F.regexp_extract(x["s"]["v"], r"^[^\p{L}\p{N}+@(]*", 0))).alias("b"),
-            (x["s"]["b"] + F.length(F.regexp_extract(x["s"]["v"], r"^[^\p{L}\p{N}+@(]*", 0)) + F.length(trim(x["s"]["v"]))).alias("e"),
-            F.exists(seeds, lambda z: (z["b"] < x["s"]["e"]) & (x["s"]["b"] < z["e"])).alias("seed"),
-        ),
-    )
+            (x["s"]["b"] + head).alias("b"),
+            (x["s"]["b"] + head + F.length(trim(x["s"]["v"]))).alias("e"),
+            F.exists(near, lambda z: (z["b"] < x["s"]["e"]) & (x["s"]["b"] < z["e"])).alias("seed"),
+        )
+
+    def chunk(c, spans):
+        # only spans that reach into the chunk are compared with its tokens
+        low, high = F.get(c, F.lit(0))["s"]["b"], F.element_at(c, -1)["s"]["e"]
+        return let(F.filter(spans, lambda z: (z["b"] < high) & (low < z["e"])), lambda near: F.transform(c, lambda x: token(x, near)))
+
+    both = let(F.split(text, TOKEN, -1), lambda pieces: let(located(text, TOKEN), lambda found: F.zip_with(
+        F.zip_with(F.slice(pieces, 1, F.size(found)), F.slice(pieces, 2, F.size(found)), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), found, lambda w, x: F.struct(w["p"].alias("p"), w["q"].alias("q"), x.alias("s")))))
+    return let(seeds, lambda spans: F.flatten(F.transform(chunked(both), lambda c: chunk(c, spans))))
 
 
 def discoveries(edges: DataFrame) -> DataFrame:
@@ -112,12 +153,12 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     discovered is joined by id, hash and length of the text, so equal rows get equal spans.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    src = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("_text"))
     named = src.select("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.hash(text).alias("k2"), text.alias("_text"))
     first = named.select("doc_id", "k1", "k2", "_text", *(c.alias(k) for k, c in base_spans(F.col("_text")).items()))
     second = first.select("doc_id", "k1", "k2", *KINDS, F.when(F.col("_text").rlike("[0-9@]"), tokens(F.col("_text"), F.concat(*KINDS))).alias("tokens"))
     found, at = table(second, "pii-found")
-    each = found.select("k1", "k2", F.inline("tokens")).filter("pattern <> '' and item <> ''")
+    each = found.select("k1", "k2", F.inline("tokens")).filter("pattern not in ('', '>') and item <> ''")
     edges = each.groupBy("pattern", "item").agg(F.count("*").alias("w"), F.max("seed").alias("seed"))
     edges, edges_at = table(edges, "pii-edges")
     new = each.filter("not seed").join(discoveries(edges), ["pattern", "item"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("other"))
