@@ -429,7 +429,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meta = met.filter("kind = 0").select("doc_id", "sid", "n", "own", "low")
     shared = met.filter("kind = 1").select("sid", "key", "cnt", F.col("level").cast("byte").alias("level"))
     # one row for each different set; copies of a text met by another task have 0 filled bands there or the same number
-    classes = meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low"))
+    classes = kept(meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low")), "parity-sets")
     mine = F.when(F.col("n") < SMALL, 0).otherwise((F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)) / SMALL) + 1e-9) + 1).cast("int"))
     as_small = F.expr(f"cast((n + (n * {den}) div {num}) * {den - num} div {den + num} as int)")
     as_large = F.expr(f"cast((2 * n) * {den - num} div {den + num} as int)")
@@ -478,7 +478,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = label.withColumnRenamed("id", "sid").join(classes.select("sid", "rep"), "sid")
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     of_set = linked.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int")).join(least, ["comp", "salt"]).select("sid", "component_id", F.lit(True).alias("linked"))
-    named = classes.select("sid", "rep").join(of_set, "sid", "left").select("sid", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    # a table, so that Spark deals out both sides of the next join for it alone and can split a set that very many documents share
+    named = kept(classes.select("sid", "rep").join(of_set, "sid", "left").select("sid", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")), "parity-named")
     result, _ = table(
         meta.join(named, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")),
         "parity-classes",

@@ -4,7 +4,8 @@ Every task sorts the suffixes of its documents, some megabytes (a shard) at a ti
 or as many as the window has (prefix doubling; only suffixes that still tie are sorted again), then binary-searches every benchmark
 suffix in each shard. A found range lists all occurrences; occurrences in a row on one diagonal join to
 the longest verbatim match. There is no shuffle: documents never leave their task, and the benchmark, whose
-size is checked, goes to every task; a larger one goes in blocks of bounded size, one pass each.
+size is checked, goes to every task; a larger one goes in blocks of bounded size, one pass each. Of a block, tasks get the
+words' hashes and where windows begin (16 bytes a word at most); windows themselves are cut out only while they are searched.
 """
 
 from __future__ import annotations
@@ -18,35 +19,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.text import ALNUM, STEP, U, Block, blocks, mix
 from tessera.plans.session import ship
 
 DEPTH = 16
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Bytes of benchmark text that one pass takes to the tasks.
-ITEMS = 32 << 20
+ITEMS = 8 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 16
 
 MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())]))
 
 
 class Queries:
-    """The suffixes of benchmark items that begin a window, by window length; the words are order-keeping 32-bit codes."""
+    """The suffixes of benchmark items that begin a window: word hashes of all items, and by window length where windows begin, their item and their place in it."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.names = [i for i, _ in items]
-        column = pa.array([t for _, t in items], pa.large_string())
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        parts: dict[int, list] = {}
-        for b in blocks(column):
+        hashes, rows, base = [np.zeros(0, dtype=np.uint64)], [np.zeros((0, 4), dtype=np.int64)], 0
+        for b in blocks(pa.array([t for _, t in items], pa.large_string())):
             _, _, h, first = b.words(ALNUM)
-            for i in range(b.n):
-                w = h[first[i] : first[i + 1]]
-                size = min(window, len(w))
-                for j in range(len(w) - size + 1) if size else ():
-                    parts.setdefault(size, []).append((b.first + i, j, w[j : j + size]))
-        for size, rows in parts.items():
-            full = np.stack([r[2] for r in rows])
-            self.by_length[size] = (codes(full), chain(full), np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+            words = np.diff(first)
+            size = np.minimum(words, window)
+            count = np.where(words > 0, words - size + 1, 0)
+            item = np.repeat(np.arange(b.n), count)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+            rows.append(np.column_stack([size[item], base + first[:-1][item] + at, b.first + item, at]))
+            hashes.append(h)
+            base += len(h)
+        self.words, all_ = np.concatenate(hashes), np.concatenate(rows)
+        self.by_length = {int(n): all_[all_[:, 0] == n, 1:].astype(np.int32 if base < 1 << 31 else np.int64) for n in np.unique(all_[:, 0])}
 
 
 def codes(h: np.ndarray) -> np.ndarray:
@@ -137,20 +141,23 @@ def occurrences(block: Block, queries: Queries):
     order, pairs = suffix_array(seq, max([DEPTH, *queries.by_length]))
     home = np.cumsum(words + 1) - (words + 1)  # where each text begins in seq
     found = []
-    for size, (code, exact, item, at) in queries.by_length.items():
-        lo, hi = search(seq, order, pairs, code)
-        n = hi - lo
-        q = np.repeat(np.arange(len(n)), n)
-        if not len(q):
-            continue
-        pos = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        text = np.searchsorted(home, pos, side="right") - 1
-        word = pos - home[text]
-        ok = word + size <= words[text]
-        q, text, word = q[ok], text[ok], word[ok]
-        same = chain(h[(first[text] + word)[:, None] + np.arange(size)]) == exact[q]
-        q, text, word = q[same], text[same], word[same]
-        found.append(np.column_stack([text, word, item[q], at[q], np.full(len(q), size)]))
+    for size, starts in queries.by_length.items():
+        for part in range(0, len(starts), SEARCHED):
+            begin, item, at = starts[part : part + SEARCHED].T
+            window = queries.words[begin[:, None] + np.arange(size)]
+            lo, hi = search(seq, order, pairs, codes(window))
+            n = hi - lo
+            q = np.repeat(np.arange(len(n)), n)
+            if not len(q):
+                continue
+            pos = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+            text = np.searchsorted(home, pos, side="right") - 1
+            word = pos - home[text]
+            ok = word + size <= words[text]
+            q, text, word = q[ok], text[ok], word[ok]
+            same = chain(h[(first[text] + word)[:, None] + np.arange(size)]) == chain(window)[q]
+            q, text, word = q[same], text[same], word[same]
+            found.append(np.column_stack([text, word, item[q], at[q], np.full(len(q), size)]).astype(np.int64))
     return (np.concatenate(found) if found else np.zeros((0, 5), dtype=np.int64)), words
 
 
@@ -179,18 +186,20 @@ def hits(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     return inside[first[1:]] - inside[first[:-1]]
 
 
-def _annotate(text_at: int, shared):
+def _annotate(text_at: int, shared, added: list[str]):
+    """Mapper over rows whose first column is a struct that holds the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         for batch in batches:
-            for b in blocks(batch.column(text_at), SHARD):
+            for b in blocks(batch.column(0).field(text_at), SHARD):
                 rows, words = occurrences(b, queries)
                 n_hit = hits(rows, words)
                 spans = longest(rows)
                 ends = np.searchsorted(spans[:, 0], np.arange(b.n + 1)) if len(spans) else np.zeros(b.n + 1, dtype=np.int64)
                 match = [[{"item_id": queries.names[s[2]], "item_word": s[3], "doc_word": s[1], "words": s[4]} for s in spans[ends[i] : ends[i + 1]].tolist()] for i in range(b.n)]
                 part = batch.slice(b.first, b.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(match, MATCH)], names=[*part.schema.names, "_words", "_hit", "_match"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(match, MATCH)], names=[*part.schema.names, *added])
 
     return run
 
@@ -205,35 +214,39 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> It
         yield sorted((r.i, r.t) for r in rows.toLocalIterator())
 
 
+_COVER = "aggregate(array_sort(transform({m}, m -> struct(m.doc_word as b, m.doc_word + m.words as e))), struct(0L as n, 0 as e), (s, m) -> struct(s.n + greatest(0, m.e - greatest(m.b, s.e)) as n, greatest(s.e, m.e) as e), s -> s.n)"
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, limit: int = ITEMS) -> DataFrame:
-    """docs with the columns _words, _hit (words inside occurrences), _match (longest matches: item_id, item_word, doc_word, words).
+    """docs with three more columns, the last ones: words, hit (words inside occurrences), matches (longest: item_id, item_word, doc_word, words).
 
-    Words are runs of letters and digits, A-Z lower-cased. Items of fewer words than the window are one
+    Their names are _words, _hit and _match, with underscores behind them where docs has such columns, which stay as they are. Words are runs of
+    letters and digits, A-Z lower-cased. Items of fewer words than the window are one
     window; items without words, null or empty, match nothing. Null texts have no words. Null item ids count
-    as one item named "". Existing columns of these three names are replaced. A benchmark over limit bytes
-    takes one pass for each block, and hits of blocks are joined by their spans.
+    as one item named "". A benchmark over limit bytes takes one pass for each block, and hits of blocks are joined by their spans.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("_words", "_hit", "_match")
-    passes = [spark.sparkContext.broadcast(Queries(items, window)) for items in _items(benchmark, item_col, item_text, limit)]
-    out = docs
-    for k, shared in enumerate(passes):
-        schema = T.StructType([*out.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_hit", T.LongType()), T.StructField("_match", T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(x, T.IntegerType()) for x in ("item_word", "doc_word", "words"))])))])
-        out = out.mapInArrow(_annotate(docs.columns.index(text_col), shared), schema)
-        if len(passes) > 1:
-            out = out.withColumnRenamed("_match", f"_match{k}").drop("_hit") if k == len(passes) - 1 else out.withColumnRenamed("_match", f"_match{k}").drop("_hit", "_words")
-    if len(passes) > 1:
-        names = [f"_match{k}" for k in range(len(passes))]
-        out = out.withColumn("_match", F.concat(*names)).drop(*names)
-        cover = "aggregate(array_sort(transform(_match, m -> struct(m.doc_word as b, m.doc_word + m.words as e))), struct(0L as n, 0 as e), (s, m) -> struct(s.n + greatest(0, m.e - greatest(m.b, s.e)) as n, greatest(s.e, m.e) as e), s -> s.n)"
-        out = out.withColumn("_hit", F.expr(cover)).select(*docs.columns, "_words", "_hit", "_match")
-    return out
+    entry = T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(x, T.IntegerType()) for x in ("item_word", "doc_word", "words"))])
+    kinds = {"_words": T.LongType(), "_hit": T.LongType(), "_match": T.ArrayType(entry)}
+    out, parts = docs.select(whole(docs).alias("_all")), 0
+    for items in _items(benchmark, item_col, item_text, limit):
+        # one block at a time is in the driver's memory
+        shared = spark.sparkContext.broadcast(Queries(items, window))
+        now = [f"{n}{parts}" for n in kinds]
+        schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in zip(now, kinds.values(), strict=True))])
+        out = out.mapInArrow(_annotate(docs.columns.index(text_col), shared, now), schema)
+        parts += 1
+    hit, match = F.col("_hit0"), F.col("_match0")
+    if parts > 1:
+        out = out.withColumn("_match", F.concat(*(f"_match{k}" for k in range(parts))))
+        hit, match = F.expr(_COVER.format(m="_match")), F.col("_match")
+    return out.select("_all.*", *(c.alias(unused(docs, n)) for n, c in zip(kinds, (F.col("_words0"), hit, match), strict=True)))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches."""
-    found = annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), benchmark, "text", **kw)
+    found = annotate(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")), benchmark, "text", **kw)
     items = F.array_sort(F.array_distinct(F.transform("_match", lambda m: m.item_id)))
     return found.select(
         "doc_id",
@@ -246,10 +259,16 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """docs without those of whose words a twentieth or more lie in benchmark windows."""
-    found = annotate(docs, benchmark, text_col, **kw)
-    return found.filter(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_words")))).select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, **kw) -> DataFrame:
+    """docs without the affected ones: those with a verbatim passage of window words of an item, however long they are themselves.
+
+    Occurrences of items with fewer words than the window, which ordinary text may hold by chance, affect a document only where they
+    cover a twentieth of its words. All columns of docs are kept.
+    """
+    found = annotate(docs, benchmark, text_col, window=window, **kw)
+    words, hit, match = (quoted(c) for c in found.columns[-3:])
+    affected = F.exists(match, lambda m: m.words >= window) | ((hit > 0) & (20 * hit >= words))
+    return found.filter(~affected).select(*(quoted(c) for c in docs.columns))
 
 
 def digest(names: list[str]) -> str:

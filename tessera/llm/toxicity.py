@@ -22,7 +22,9 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.quality import held_out, labelled
 from tessera.llm.text import ALNUM, LOWER, Block, blocks
 from tessera.plans.session import ship
@@ -212,33 +214,36 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int
     return m
 
 
-def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "_toxic") -> DataFrame:
-    """docs with a score from 0 to 1 (an existing column of that name is replaced). Null texts count as empty; without a model all are 0."""
-    docs = docs.drop(name)
+def with_score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with one more column, the last: a score from 0 to 1. It is called _toxic, with underscores behind it where docs has such a column.
+
+    Null texts count as empty; without a model all scores are 0.
+    """
+    name = unused(docs, "_toxic")
     if model is None:
-        return docs.withColumn(name, F.lit(0.0))
+        return docs.select("*", F.lit(0.0).alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    rows, at = docs.select(whole(docs).alias("_all")), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            s = m.score(m.gains(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
-
-    from pyspark.sql import types as T
+            s = m.score(m.gains(batch.column(0).field(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["_all", "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    kinds = T.StructType([rows.schema["_all"], T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(run, kinds).select("_all.*", F.col("_score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 3, kept_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= threshold). One row for each row of docs."""
     model = train(docs, labels, threshold, fold, kept_out)
-    out = with_score(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, name="score")
+    out = with_score(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).withColumnRenamed("_toxic", "score")
     return out.select("doc_id", held_out("doc_id", fold, kept_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without those scored at or over the threshold; the model may learn from all labels."""
     model = train(docs, labels, threshold, None, None)
-    return with_score(docs, model).filter(F.col("_toxic") < threshold).select(*docs.columns)
+    scored = with_score(docs, model)
+    return scored.filter(F.col(scored.columns[-1]) < threshold).select(*(quoted(c) for c in docs.columns))
