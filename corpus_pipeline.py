@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, parity_join, shards, suffix_match, toxicity
 from tessera.llm.queries import TARGETS, read
-from tessera.plans.session import scratch
+from tessera.plans.session import discard, mark, scratch, sweep
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth lies in benchmark windows go."""
+    """Documents that hold a verbatim passage of thirteen words of a benchmark item go."""
     return suffix_match.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -47,11 +47,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage has written only for itself, and its input, go once its output is there."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{scratch(spark)}/tessera/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            sweep(spark, since)
+            if before:
+                discard(spark, before)
+            before = path
     return docs
