@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,7 +37,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its own (tests); a cluster must name one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if given:
@@ -43,6 +45,9 @@ def scratch(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(given)
         return given.rstrip("/")
     if context.getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         folder = tempfile.mkdtemp(prefix="tessera-scratch-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir("file://" + folder)
@@ -59,6 +64,7 @@ def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it again; returns the frame and its path."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -70,6 +76,17 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """A point in time for sweep()."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables made since mark(); whoever calls knows that nothing reads them any more."""
+    while len(_made) > since:
+        discard(spark, _made.pop())
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
