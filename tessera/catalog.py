@@ -129,12 +129,14 @@ def f7_search(t):
     return G.matches(graph_nodes(t), search="12")
 
 
-CLOSED = ", m as (select id, file_id from symbols where symbol_kind = 'enum' and contains(lower(name), '77') and starts_with(file_id, 'EUROPE/')), k as (select id from m union select file_id from m union select f.dir from m join files f on f.id = m.file_id) "
+# The package of a file's region if it is of the file's family.
+OWNING = "select p.id from m join files f on f.id = coalesce(m.file_id, m.id) join packages p on p.id = f.pkg and case when p.language in ('typescript','javascript') then 'npm' else p.language end = case f.language when 'typescript' then 'npm' else f.language end"
+CLOSED = ", m as (select id, file_id from symbols where symbol_kind = 'enum' and contains(lower(name), '7') and starts_with(file_id, 'AFRICA/')), k as (select id from m union select file_id from m union select f.dir from m join files f on f.id = m.file_id union " + OWNING + ") "
 
 
 def _kept(t):
     n = graph_nodes(t)
-    return G.closure(n, G.matches(n, path="EUROPE", symbol_kind="enum", search="77"))
+    return G.closure(n, G.matched(n, path="AFRICA", symbol_kind="enum", search="7"))
 
 
 @query(CLOSED + "select id from k")
@@ -307,7 +309,7 @@ def g6_call_fan_out(t):
     return G.merge_calls(raw).withColumn("lines", F.array_join("lines", ","))
 
 
-@query(", m as (select id, dir from files where name like '%7.ts') select id from m union select dir from m")
+@query(", m as (select id, null as file_id, dir from files where name like '%7.ts') select id from m union select dir from m union " + OWNING)
 def g7_ancestor_closure(t):
     n = graph_nodes(t)
     return G.closure(n, n.filter("kind = 'file' and name like '%7.ts'"))
@@ -420,12 +422,12 @@ def w6_v4_first_links(t):
     return r.groupBy("source", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 20, F.struct("r", "callee")))), lambda x: x["callee"]), ",").alias("first"), F.greatest(F.count("*") - 20, F.lit(0)).alias("more"))
 
 
-@query("select id, row_number() over (order by id) as ord from files")
+@query("select id, row_number() over (order by id, kind) as ord from nodes")
 def o1_node_order(t):
     return G.numbered(graph_nodes(t).select("id", "kind"), "id", "kind").select("id", "ord")
 
 
-@query("select source, target, row_number() over (order by source, target) as ord from edges where starts_with(source, 'ASIA/')")
+@query("select source, target, row_number() over (order by source, target) as ord from edges")
 def o2_edge_order(t):
     return G.numbered(edges(t), "source", "target")
 
@@ -499,14 +501,17 @@ def r1_module_graph(t):
     return G.module_graph(edges(t), t.files())
 
 
-@query()
+ORDER = ", mods as (select module_id as id, min(dir) as name from files where module_id is not null group by 1), deps as (select distinct a.module_id as s, b.module_id as t from edges join files a on a.id = source join files b on b.id = target where a.module_id <> b.module_id), reach(s, t) as (select id, id from mods union select reach.s, deps.t from reach join deps on deps.s = reach.t), comp as (select r.s as id, min(r.t) as c from reach r join reach b on b.s = r.t and b.t = r.s group by 1), comps as (select c, min(name) as nm from comp join mods using (id) group by 1), waits as (select distinct a.c as s, b.c as t from deps join comp a on a.id = deps.s join comp b on b.id = deps.t where a.c <> b.c), walk(placed) as (select cast([] as int[]) union all select list_append(placed, (select arg_min(c, (nm, c)) from comps where not list_contains(placed, c) and not exists (select 1 from waits where waits.s = comps.c and not list_contains(placed, waits.t)))) from walk where len(placed) < (select count(*) from comps)), final as (select placed from walk order by len(placed) desc limit 1) "
+
+
+@query(ORDER + "select 'one' as repo_id, mods.id, name, comp.c as component, cast(row_number() over (order by list_position((select placed from final), comp.c), name, mods.id) - 1 as int) as ord from mods join comp on comp.id = mods.id")
 def r2_r3_module_order(t):
     f = t.files()
     names = f.filter("module_id is not null").groupBy("module_id").agg(F.min("dir").alias("name")).select(F.lit("one").alias("repo_id"), F.col("module_id").alias("id"), "name")
     return M.module_order(names, G.module_graph(edges(t), f).select(F.lit("one").alias("repo_id"), "src", "dst"))
 
 
-CHAIN = "with recursive late as (select l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag = 'R' and l_shipdate >= timestamp '1997-06-01'), e as (select distinct a.l_partkey as source, b.l_partkey as target from late a join late b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_partkey <> b.l_partkey), walk(id, level) as (select min(source), 0 from e union select target, level + 1 from walk join e on source = id where level < 30) "
+CHAIN = "with recursive e as (select distinct a.l_partkey as source, b.l_partkey as target from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_partkey <> b.l_partkey), walk(id, level) as (select min(source), 0 from e union select target, level + 1 from walk join e on source = id where level < 30) "
 
 
 @query(CHAIN + "select id, min(level) as level from walk where id is not null group by 1", base=False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Extension to language, language to manifest family, excluded by default.
 LANGUAGE = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "rs": "rust", "java": "java", "py": "python"}
 FAMILY = {"typescript": "npm", "javascript": "npm", "go": "go", "rust": "rust", "java": "java", "python": "python"}
+FAMILIES = sorted(set(FAMILY.values()))
 EXCLUDED = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/target/**", "**/vendor/**", "**/.stryker-tmp/**", "**/.pnpm-store/**"]
 # Path patterns of test files and of tooling configuration.
 TEST = [

@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.languages import family_of
+from tessera.functions.languages import FAMILIES, family_of
 from tessera.functions.paths import ancestors, basename, common_prefix, container, segments, under
 
 NODE = ["id", "kind", "name", "file_id", "language", "module_id", "reason", "symbol_kind", "exported", "version"]
@@ -72,30 +72,51 @@ def locations(ns: DataFrame) -> DataFrame:
     return ns.join(own, "file_id", "left").join(by_dir, "id", "left").select("id", "kind", path.alias("path"), families.alias("families"))
 
 
-def matches(ns: DataFrame, path: str | None = None, family: str | None = None, symbol_kind: str | None = None, search: str | None = None) -> DataFrame:
-    """Ids of nodes that all given facets accept. An empty path accepts none."""
+def matches(ns: DataFrame, **facets: str | None) -> DataFrame:
+    """Ids of matched nodes."""
+    return matched(ns, **facets).select("id")
+
+
+def matched(ns: DataFrame, path: str | None = None, family: str | None = None, symbol_kind: str | None = None, search: str | None = None) -> DataFrame:
+    """Nodes that all given facets accept. An empty path accepts none."""
     out = ns
     if symbol_kind is not None:
         out = out.filter((F.col("kind") == "symbol") & (F.col("symbol_kind") == symbol_kind))
     if search is not None:
         out = out.filter(F.lower("name").contains(search.lower()))
     if path is not None:
-        at = F.when(F.col("kind") == "symbol", F.col("file_id")).otherwise(F.col("id"))
+        at = F.when(F.col("kind") == "symbol", F.col("file_id")).when(F.col("kind") == "package", bare(F.col("id"))).otherwise(F.col("id"))
         out = out.filter((F.col("kind") != "external") & (under(at, path) if path else F.lit(False)))
         if family:  # only then do nodes have to be joined with families
-            out = out.join(locations(ns).filter(F.array_contains("families", family)).select("id"), "id", "left_semi")
-    return out.select("id")
+            out = out.join(locations(ns).filter(F.array_contains("families", family)).select("id", "kind"), ["id", "kind"], "left_semi")
+    return out
+
+
+def bare(id_: Column) -> Column:
+    """The directory of a package's id: without the '@family' that packages in one directory have."""
+    return F.regexp_replace(id_, f"@({'|'.join(FAMILIES)})$", "")
 
 
 def closure(ns: DataFrame, found: DataFrame) -> DataFrame:
-    """Ids of found nodes, the files of symbols, and the directories up to the owning package."""
-    at = ns.join(found.select("id"), "id", "left_semi")
-    low = at.filter("kind in ('file', 'symbol', 'directory')").select("id", F.coalesce("file_id", "id").alias("path"))
-    up = low.select("id", F.posexplode(ancestors(F.col("path"))).alias("pos", "dir"))
-    roots = ns.filter("kind = 'package'").select(F.col("id").alias("dir"))
-    stop = up.join(roots, "dir").groupBy("id").agg(F.min("pos").alias("stop"))
-    dirs = up.join(stop, "id", "left").filter("stop is null or pos < stop").join(ns.filter("kind = 'directory'").select(F.col("id").alias("dir")), "dir", "left_semi")
-    return found.select("id").union(at.filter("kind = 'symbol'").select("file_id")).union(dirs.select("dir")).distinct()
+    """Ids of found nodes, the files of symbols, and for each family of a node the directories up to its owning package, and that package.
+
+    A package owns by directory and family: one of another family on the way up does not stop the walk. Nodes without a family
+    (directories without files) and externals have no ancestors. found: id, or nodes as they are, which saves looking them up.
+    """
+    at = found if {"kind", "file_id"} <= set(found.columns) else ns.join(found.select("id"), "id", "left_semi")
+    files = ns.filter("kind = 'file'")
+    low = at.filter("kind in ('file', 'symbol')").select(F.coalesce("file_id", "id").alias("path")).distinct()
+    of_files = low.join(files.select(F.col("id").alias("path"), family_of(F.col("language")).alias("family")), "path")
+    # only below found directories are files looked at
+    dirs = at.filter("kind = 'directory'").select(F.col("id").alias("path"))
+    below = files.select(F.explode(ancestors(F.col("id"))).alias("path"), family_of(F.col("language")).alias("family")).join(dirs, "path", "left_semi").distinct()
+    up = of_files.unionByName(below).select("path", "family", F.posexplode(ancestors(F.col("path"))).alias("pos", "dir"))
+    packages = ns.filter("kind = 'package'").select(bare(F.col("id")).alias("dir"), family_of(F.col("language")).alias("family"), F.col("id").alias("package")).groupBy("dir", "family").agg(F.max(F.struct(F.length("package"), "package")).alias("p"))
+    # of 'dir@family' and 'dir' the first, which is the longer one
+    owner = up.join(packages, ["dir", "family"]).groupBy("path", "family").agg(F.min("pos").alias("stop"), F.min_by("p.package", "pos").alias("package"))
+    walked = up.join(owner.select("path", "family", "stop"), ["path", "family"], "left").filter("stop is null or pos < stop").select("dir").distinct()
+    folders = walked.join(ns.filter("kind = 'directory'").select(F.col("id").alias("dir")), "dir", "left_semi")
+    return found.select("id").union(at.filter("kind = 'symbol'").select("file_id")).union(folders.select("dir")).union(owner.select("package")).distinct()
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

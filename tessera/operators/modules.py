@@ -118,17 +118,20 @@ def strong_components(edges: list[tuple]) -> list[list]:
 
 
 def ordered(names: dict, edges: list[tuple]) -> list:
-    """Modules, dependencies' dependents last: of the components that are ready, always the one of the earliest name."""
+    """Modules, each after all it imports: of the components whose imports are all placed, always the one of the earliest name.
+
+    edges: (module, module that it imports). Modules that import each other are one component, in order of name.
+    """
     import heapq
 
     parts = strong_components([*edges, *((m, m) for m in names)])
     of = {m: i for i, p in enumerate(parts) for m in p}
-    after: dict[int, set] = {i: set() for i in range(len(parts))}
+    users: dict[int, set] = {i: set() for i in range(len(parts))}
     wait = {i: 0 for i in range(len(parts))}
     for s, t in edges:
-        if of[s] != of[t] and of[t] not in after[of[s]]:
-            after[of[s]].add(of[t])
-            wait[of[t]] += 1
+        if of[s] != of[t] and of[s] not in users[of[t]]:
+            users[of[t]].add(of[s])
+            wait[of[s]] += 1
     key = lambda i: (min(names.get(m, "") for m in parts[i]), i)
     ready = [key(i) for i in wait if wait[i] == 0]
     heapq.heapify(ready)
@@ -136,7 +139,7 @@ def ordered(names: dict, edges: list[tuple]) -> list:
     while ready:
         _, i = heapq.heappop(ready)
         out += sorted(parts[i], key=lambda m: (names.get(m, ""), m))
-        for j in sorted(after[i]):
+        for j in users[i]:
             wait[j] -= 1
             if wait[j] == 0:
                 heapq.heappush(ready, key(j))

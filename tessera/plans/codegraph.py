@@ -47,26 +47,9 @@ class CodeGraph:
         at = path.rfind("@") if path else -1
         if at > 0 and path[at + 1 :] in manifests.LANGUAGE:
             path, family = path[:at], path[at + 1 :]
-        flat = self.nodes.withColumn("id_", F.col("id")).withColumn("id", F.when(F.col("kind") == "package", F.regexp_replace("id", "@(npm|go|rust|java|python)$", "")).otherwise(F.col("id")))
-        flat = flat.withColumn("key", F.concat_ws("|", "kind", "id_"))
-        # A directory and a package never share a path, but co-located packages do: matches are by own id, paths by the bare one.
-        by_key = flat.withColumn("place", F.when(F.col("kind") == "symbol", F.col("file_id")).otherwise(F.col("id")))
-        keep = by_key
-        if symbol_kind is not None:
-            keep = keep.filter((F.col("kind") == "symbol") & (F.col("symbol_kind") == symbol_kind))
-        if search is not None:
-            keep = keep.filter(F.lower("name").contains(search.lower()))
-        if path is not None:
-            inside = (F.lit(path) == ".") | (F.col("place") == path) | F.col("place").startswith(path + "/")
-            keep = keep.filter((F.col("kind") != "external") & (inside if path else F.lit(False)))
-            if family:
-                where = G.locations(flat).filter(F.array_contains("families", family)).select("id", "kind").distinct()
-                keep = keep.join(where, ["id", "kind"], "left_semi")
-                keep = keep.filter((F.col("kind") != "package") | (family_of(F.col("language")) == family))
-        ids = cut(G.closure(flat, keep.select("id")).union(keep.select("id_")).distinct())
-        packages = keep.filter("kind = 'package'").select("id_")
-        nodes = self.nodes.join(ids, "id", "left_semi").filter("kind <> 'package'").unionByName(self.nodes.join(packages.withColumnRenamed("id_", "id"), "id", "left_semi").filter("kind = 'package'"))
-        return nodes, G.induced(self.edges, ids), self.modules
+        keep = cut(G.matched(self.nodes, path=path, family=family, symbol_kind=symbol_kind, search=search))
+        ids = cut(G.closure(self.nodes, keep))
+        return self.nodes.join(ids, "id", "left_semi"), G.induced(self.edges, ids), self.modules
 
     def counts(self) -> dict[str, int]:
         return {"nodes": self.nodes.count(), "edges": self.edges.count()}

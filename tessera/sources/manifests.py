@@ -19,8 +19,10 @@ SCHEMA = "path string, dir string, family string, prio int, name string, entries
 # Family and order of precedence of each manifest, language of a family's packages.
 FAMILY = {"package.json": ("npm", 0), "go.mod": ("go", 0), "Cargo.toml": ("rust", 0), "pom.xml": ("java", 0), "build.gradle.kts": ("java", 1), "build.gradle": ("java", 2), "pyproject.toml": ("python", 0)}
 LANGUAGE = {"npm": "typescript", "go": "go", "rust": "rust", "java": "java", "python": "python"}
-# Fixed value: declared versions that name no registry version.
+# Declared versions that name no registry version; a quoted value; group, artifact and version in a Gradle file.
 ELSEWHERE = re.compile(r"^(?:workspace|file|link|portal|git|git\+\w+|github|gitlab|bitbucket|https?):|/")
+QUOTED = r"\"([^\"]+)\""
+COORDINATES = re.compile(r"[\"']([\w.-]+):([\w.-]+):([\w.+-]+)[\"']")
 
 
 def coordinate(name: str, spec: str) -> tuple[str, str] | None:
@@ -48,8 +50,8 @@ def installed(root: str, directory: str, name: str) -> str | None:
         here = up
 
 
-def section(text: str, header: str) -> str:
-    """Lines below a TOML header, up to the next line that begins with a bracket."""
+def section(text: str, header: str) -> str | None:
+    """Lines below a TOML header, up to the next line that begins with a bracket; null without such a header."""
     lines, inside = [], False
     for line in text.splitlines():
         if inside and line.strip().startswith("["):
@@ -57,11 +59,11 @@ def section(text: str, header: str) -> str:
         if inside:
             lines.append(line)
         inside = inside or line.strip() == header
-    return "\n".join(lines)
+    return "\n".join(lines) if inside else None
 
 
 def quoted(text: str, key: str) -> str | None:
-    m = re.search(rf"^\s*{key}\s*=\s*[\"']([^\"']*)[\"']", text, re.M)
+    m = re.search(rf"^\s*{key}\s*=\s*{QUOTED}", text, re.M)
     return m.group(1) if m else None
 
 
@@ -69,9 +71,9 @@ def npm(text: str, directory: str, root: str | None):
     try:
         j = json.loads(text)
     except ValueError:
-        return None
+        j = None
     if not isinstance(j, dict):
-        return None
+        j = {}
     deps = {}
     for kind in ("optionalDependencies", "peerDependencies", "devDependencies", "dependencies"):
         d = j.get(kind)
@@ -89,8 +91,6 @@ def npm(text: str, directory: str, root: str | None):
 
 def go(text: str, directory: str, root: str | None):
     m = re.search(r"^\s*module\s+(\S+)", text, re.M)
-    if not m:
-        return None
     out, block = [], False
     for line in text.splitlines():
         line = line.split("//")[0].strip()
@@ -102,15 +102,15 @@ def go(text: str, directory: str, root: str | None):
             d = re.match(r"(\S+)\s+(v\S+)" if block else r"require\s+(\S+)\s+(v\S+)", line)
             if d:
                 out.append((d.group(1), d.group(1), d.group(2)))
-    return m.group(1), out, []
+    return m.group(1) if m else None, out, []
 
 
 def rust(text: str, directory: str, root: str | None):
-    name = quoted(section(text, "[package]"), "name")
-    if name is None:
+    package = section(text, "[package]")
+    if package is None:
         return None
-    out = []
-    for line in section(text, "[dependencies]").splitlines():
+    name, out = quoted(package, "name"), []
+    for line in (section(text, "[dependencies]") or "").splitlines():
         m = re.match(r"\s*([\w-]+)\s*=\s*(?:\"([^\"]+)\"|\{.*?\bversion\s*=\s*\"([^\"]+)\".*)", line)
         if m:
             out.append((m.group(1).replace("-", "_"), m.group(1), m.group(2) or m.group(3)))
@@ -124,26 +124,36 @@ def by_group(group: str, artifact: str, version: str) -> list[tuple]:
 
 
 def maven(text: str, directory: str, root: str | None):
-    m = re.search(r"<artifactId>\s*([^<\s]+)\s*</artifactId>", re.sub(r"<parent>[\s\S]*?</parent>", "", text))
-    if not m:
-        return None
-    out = []
-    for d in re.findall(r"<dependency>([\s\S]*?)</dependency>", text):
-        g, a, v = (re.search(rf"<{k}>\s*([^<\s]+)\s*</{k}>", d) for k in ("groupId", "artifactId", "version"))
-        if g and a and v:
-            out += by_group(g.group(1), a.group(1), v.group(1))
-    return m.group(1), out, []
+    own, out = text, []
+    if "<parent>" in text and "</parent>" in text.split("<parent>", 1)[1]:
+        before, rest = text.split("<parent>", 1)
+        own = before + rest.split("</parent>", 1)[1]
+    for block in text.split("<dependency>")[1:]:
+        if "</dependency>" in block:
+            g, a, v = (element(block.split("</dependency>", 1)[0], k) for k in ("groupId", "artifactId", "version"))
+            if g and a and v:
+                out += by_group(g, a, v)
+    return element(own, "artifactId"), out, []
+
+
+def element(text: str, tag: str) -> str | None:
+    """Text of the first element of that tag that holds one word and nothing else."""
+    for piece in text.split(f"<{tag}>")[1:]:
+        word, closed = piece.split("<", 1)[0].split(), piece.split("<", 1)[1:]
+        if len(word) == 1 and closed and closed[0].startswith(f"/{tag}>"):
+            return word[0]
+    return None
 
 
 def gradle(text: str, directory: str, root: str | None):
-    return None, [x for g, a, v in re.findall(r"[\"']([\w.-]+):([\w.-]+):([^\"':\s]+)[\"']", text) for x in by_group(g, a, v)], []
+    return None, [x for g, a, v in COORDINATES.findall(text) for x in by_group(g, a, v)], []
 
 
 def python(text: str, directory: str, root: str | None):
     project = section(text, "[project]")
-    name = quoted(project, "name")
-    if name is None:
+    if project is None:
         return None
+    name = quoted(project, "name")
     m, out = re.search(r"^\s*dependencies\s*=\s*\[([^\]]*)\]?", project, re.M), []
     for r in re.findall(r"[\"']([^\"']+)[\"']", m.group(1)) if m else []:
         d = re.match(r"\s*([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*([<>=!~][^;]*)", r)
@@ -156,7 +166,7 @@ READERS = {"package.json": npm, "go.mod": go, "Cargo.toml": rust, "pom.xml": mav
 
 
 def read(path: str, text: str, root: str | None) -> dict | None:
-    """The record of one manifest; null if its reader declines it."""
+    """The record of one manifest. A manifest without a name, broken ones too, is named after its directory; one without the table that declares a package has no name."""
     base, directory = pp.basename(path), pp.dirname(path)
     got = READERS[base](text, directory, root)
     if got is None:
@@ -169,7 +179,7 @@ def read(path: str, text: str, root: str | None) -> dict | None:
 def packages(texts: DataFrame, root: str | None = None) -> DataFrame:
     """id, dir, family, name, language, entries, deps: at most one for each directory and family.
 
-    The first manifest in order of precedence stands for its family even where its reader declines it, and then there is no package.
+    The first manifest in order of precedence stands for its family even where it declares no package (no [package] or [project] table), and then there is none.
     """
     ship(texts.sparkSession)
     order = ["path", "dir", "family", "prio", "name", "entries", "deps"]

@@ -89,8 +89,9 @@ def test_calls(whole):
 def test_filters(whole):
     _, graph, _ = whole
     got = lambda **k: {r["id"] for r in graph.filter(**k)[0].collect()}
-    assert got(path="svc/util") == {"svc/util", "svc/util/util.go"} | {f"svc/util/util.go#{n}" for n in ("T", "Do", "Act")}
-    assert got(search="HELP") == {"app", "app/b", "app/b/deep.ts", "app/b/deep.ts#help", "jv/src", "jv/src/A.java", "jv/src/A.java#help"}
+    assert got(path="svc/util") == {"svc", "svc/util", "svc/util/util.go"} | {f"svc/util/util.go#{n}" for n in ("T", "Do", "Act")}
+    assert got(search="HELP") == {".", "app", "app/b", "app/b/deep.ts", "app/b/deep.ts#help", "jv", "jv/src", "jv/src/A.java", "jv/src/A.java#help"}
+    assert got(path="app/b/deep.ts@go") == set() and "." in got(path="app@npm")
     assert got(path="") == set() and len(got()) == graph.nodes.count()
     nodes, edges, modules = graph.filter(symbol_kind="class")
     assert edges.count() == 2 and modules.count() == graph.modules.count()  # imports among the three files of java
@@ -131,10 +132,15 @@ def test_parsers():
 
 def test_manifests():
     read = lambda p, t: manifests.read(p, t, None)
-    assert read("a/pyproject.toml", "[tool.poetry]\nname = 'x'")["name"] is None and read("a/package.json", "{")["name"] is None
+    # no package where its table is missing; the directory's name where only the name is missing or the file is broken
+    assert read("a/pyproject.toml", "[tool.poetry]\nname = 'x'")["name"] is None and read("a/Cargo.toml", "[workspace]\nmembers = []")["name"] is None
+    for path, text in {"package.json": "{", "go.mod": "go 1.22\n", "pom.xml": "<project></project>", "Cargo.toml": "[package]\nversion = \"1\"", "pyproject.toml": "[project]\nname = 'x'", "build.gradle": ""}.items():
+        assert read(f"b/a/{path}", text)["name"] == "a"
     assert read("a/package.json", '{"name": 3, "devDependencies": {"x": "1"}, "dependencies": {"x": "2", "y": "a/b"}}')["name"] == "a"
     assert [(d["name"], d["version"]) for d in read("a/package.json", '{"devDependencies": {"x": "1"}, "dependencies": {"x": "2", "y": "a/b"}}')["deps"]] == [("x", "2")]
-    assert read("a/build.gradle", "implementation 'g.h:i:1'")["deps"] == [{"ord": 0, "key": "g.h", "name": "g.h:i", "version": "1"}]
+    assert read("a/build.gradle", "implementation 'g.h:i:1'\nimplementation \"g:a:${v}\"")["deps"] == [{"ord": 0, "key": "g.h", "name": "g.h:i", "version": "1"}]
+    pom = "<project><parent><groupId>g</groupId><artifactId>top</artifactId></parent>\n<artifactId>\n own </artifactId><dependency><groupId>g</groupId><artifactId>x</artifactId></dependency><dependency><groupId>g</groupId><artifactId> y </artifactId><version>${v}</version></dependency></project>"
+    assert read("a/pom.xml", pom)["name"] == "own" and [(d["name"], d["version"]) for d in read("a/pom.xml", pom)["deps"]] == [("g:y", "${v}")]
 
 
 def test_walk_and_config(tmp_path):

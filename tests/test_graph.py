@@ -44,11 +44,30 @@ def test_filters(ns):
     assert ids(G.matches(ns, path="packages/a")) == ["packages/a", "packages/a/src", "packages/a/src/i.ts", "packages/a/src/i.ts#W"]
     assert ids(G.matches(ns, path="gone.ts")) == ["gone.ts#x"] and ids(G.matches(ns, path="gone.ts", family="npm")) == []
     assert ids(G.matches(ns, search="WID")) == ["packages/a/src/i.ts#W"]
-    assert ids(G.closure(ns, G.matches(ns, symbol_kind="class"))) == ["packages/a/src", "packages/a/src/i.ts", "packages/a/src/i.ts#W"]
+    assert ids(G.closure(ns, G.matches(ns, symbol_kind="class"))) == ["packages/a", "packages/a/src", "packages/a/src/i.ts", "packages/a/src/i.ts#W"]
+    assert ids(G.closure(ns, G.matches(ns, path="i.ts"))) == [".", "i.ts", "i.ts#main"]
+    assert ids(G.closure(ns, ns.filter("kind = 'directory'"))) == ["packages/a", "packages/a/src"]
+    assert ids(G.closure(ns, ns.filter("id in ('react', 'packages/a', 'gone.ts#x')"))) == ["gone.ts", "gone.ts#x", "packages/a", "react"]
     assert "react" in ids(G.view_matches(ns, path="")) and "react" in ids(G.view_matches(ns, path="."))
     assert "packages/a/src" not in ids(G.view_matches(ns, path="packages", family="npm"))
 
 
+def test_closure_goes_up_to_the_package_of_each_family(spark):
+    rows = [
+        (".@go", "package", "poly", None, "go", None), (".@npm", "package", "poly", None, "typescript", None), ("goa", "directory", "goa", None, None, None), ("web", "directory", "web", None, None, None),
+        ("goa/a1.go", "file", "a1.go", "goa/a1.go", "go", None), ("goa/a1.go#H", "symbol", "H", "goa/a1.go", None, "function"), ("web/app.js", "file", "app.js", "web/app.js", "javascript", None),
+        ("a", "package", "a", None, "go", None), ("a/web", "package", "w", None, "typescript", None), ("a/web/src", "directory", "src", None, None, None), ("a/web/src/x.go", "file", "x.go", "a/web/src/x.go", "go", None),
+        ("a/web/src/y.ts", "file", "y.ts", "a/web/src/y.ts", "typescript", None),
+    ]
+    n = frame(spark, rows, "id string, kind string, name string, file_id string, language string, symbol_kind string")
+    up = lambda *found: ids(G.closure(n, frame(spark, [(x,) for x in found], "id string")))
+    assert up("goa/a1.go#H") == [".@go", "goa", "goa/a1.go", "goa/a1.go#H"]
+    assert up("web/app.js") == [".@npm", "web", "web/app.js"]
+    assert up("a/web/src/x.go") == ["a", "a/web/src", "a/web/src/x.go"]  # a/web is a package of another family
+    assert up("a/web/src/y.ts") == ["a/web", "a/web/src", "a/web/src/y.ts"]
+    assert up("a/web/src") == ["a", "a/web", "a/web/src"]
+
+
 def test_nested_package_root_leaves_no_parent_directory(spark):
     files = frame(spark, [("packages/a/src/x.ts",), ("lib/y.ts",)], "id string")
     assert ids(G.directories(files, frame(spark, [(".",), ("packages/a",)], "id string"))) == ["lib", "packages/a/src"]
@@ -87,15 +106,32 @@ def test_breadth_first_on_a_cycle(spark):
     assert {(r.id, r.level) for r in G.levels(e, frame(spark, [("a",)], "id string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_order_lists_what_is_imported_first():
+    names = lambda given, edges: [given[m] for m in M.ordered(given, edges)]
+    assert names({1: "aaa-consumer", 0: "zzz-base"}, [(1, 0)]) == ["zzz-base", "aaa-consumer"]
+    assert names({2: "aaa-top", 1: "mmm-middle", 0: "zzz-base"}, [(2, 1), (1, 0)]) == ["zzz-base", "mmm-middle", "aaa-top"]
+    assert names({1: "zebra", 0: "apple"}, []) == ["apple", "zebra"]
+    assert names({1: "zebra", 0: "apple"}, [(1, 0), (0, 1)]) == ["apple", "zebra"]
+    assert names({0: "zzz-core", 1: "aaa-sat1", 2: "bbb-sat2", 3: "consumer"}, [(0, 1), (1, 0), (0, 2), (2, 0), (3, 0)]) == ["aaa-sat1", "bbb-sat2", "zzz-core", "consumer"]
+    assert names({0: "a", 1: "b"}, [(0, 0)]) == ["a", "b"] and M.ordered({}, []) == []
+
+
 def test_order_takes_the_earliest_ready_component():
-    names = {0: "z", 1: "a", 2: "m", 3: "b"}
-    assert M.ordered(names, [(0, 1), (2, 3)]) == [2, 3, 0, 1]
-    assert M.ordered(names, [(0, 1), (1, 0), (1, 2)]) == [1, 0, 2, 3] or M.ordered(names, [(0, 1), (1, 0), (1, 2)])[0] == 1
     r = random.Random(1)
     edges = [(r.randrange(20), r.randrange(20)) for _ in range(25)]
-    order = M.ordered({i: f"n{i:02}" for i in range(20)}, edges)
-    comp = {v: i for i, p in enumerate(M.strong_components(edges)) for v in p}
-    assert all(order.index(s) < order.index(t) for s, t in edges if comp[s] != comp[t])
+    given = {i: f"n{i:02}" for i in range(20)}
+    order = M.ordered(given, edges)
+    parts = M.strong_components([*edges, *((i, i) for i in given)])
+    comp = {v: i for i, p in enumerate(parts) for v in p}
+    assert sorted(order) == list(given) and all(order.index(t) < order.index(s) for s, t in edges if comp[s] != comp[t])
+    # at every step the earliest of what could come
+    placed: set[int] = set()
+    while len(placed) < len(parts):
+        ready = [i for i in range(len(parts)) if i not in placed and all(comp[t] in placed or comp[t] == i for s, t in edges if comp[s] == i)]
+        best = min(ready, key=lambda i: min(given[v] for v in parts[i]))
+        assert order[: len(parts[best])] == sorted(parts[best])
+        placed.add(best)
+        order = order[len(parts[best]) :]
 
 
 def test_louvain_triangles():
