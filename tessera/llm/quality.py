@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import quoted
 from tessera.llm.text import LOWER, SOLID, STEP, U, Block, blocks, mix
 from tessera.plans.session import ship
 
@@ -124,26 +125,29 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["w"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, kept_out: int, most: int, id_col: str = "doc_id") -> DataFrame:
-    """(rank, y, text) of at most most labelled documents outside the fold kept out, the first by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, kept_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rank, y, text) of at most most labelled rows outside the fold kept out: the first ids by a hash, and one text of each.
 
-    Null ids and labels other than 0 and 1 teach nothing; an id labelled twice takes its smaller label.
+    Null ids and labels other than 0 and 1 teach nothing; an id labelled twice takes its smaller label, and of an id with several texts
+    the one of the smallest hash counts (tasks reduce these before they meet).
     """
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).filter("_id is not null and y in (0, 1)")
+    known = labels.select(quoted(id_col).cast("long").alias("_id"), quoted(label).cast("int").alias("y")).filter("_id is not null and y in (0, 1)")
     known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % fold != kept_out) if kept_out is not None else known
     known = known.groupBy("_id").agg(F.min("y").alias("y")).withColumn("rank", F.xxhash64("_id")).orderBy("rank", "_id").limit(most)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "_id").select("rank", "y", "text")
+    text = docs.select(quoted(id_col).cast("long").alias("_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    own = text.join(F.broadcast(known), "_id").groupBy("_id", "rank", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return own.select("rank", "y", F.col("t.text").alias("text"))
 
 
 def held_out(id_col: str, fold: int, kept_out: int):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == kept_out, F.lit(False))
+    return F.coalesce(F.crc32(quoted(id_col).cast("string").cast("binary")) % fold == kept_out, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, kept_out: int = 0, most: int = SAMPLE, id_col: str = "doc_id") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, kept_out: int = 0, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights fitted in one task on a sample bounded by most rows; zeros where there is nothing to learn from."""
     spark = docs.sparkSession
     ship(spark)
-    got = labelled(docs, labels, label, fold, kept_out, most, id_col).repartition(1).mapInArrow(_fit, "w binary").collect()
+    got = labelled(docs, labels, label, fold, kept_out, most, id_col, text_col).repartition(1).mapInArrow(_fit, "w binary").collect()
     return np.frombuffer(got[0].w, dtype=np.float32).astype(np.float64) if got else np.zeros((1 << BITS) + 1)
 
 
@@ -161,7 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array(s)], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 5, kept_out: int = 0) -> DataFrame:

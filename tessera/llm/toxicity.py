@@ -318,11 +318,11 @@ def _fit(threshold: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int | None = 3, kept_out: int | None = 1, most: int = SAMPLE, id_col: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int | None = 3, kept_out: int | None = 1, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model fitted in one task on a sample bounded by most rows; None where there are no labelled documents."""
     spark = docs.sparkSession
     ship(spark)
-    got = labelled(docs, labels, "toxic", fold, kept_out, most, id_col).repartition(1).mapInArrow(_fit(threshold), "ordinary binary, toxic binary, curve binary").collect()
+    got = labelled(docs, labels, "toxic", fold, kept_out, most, id_col, text_col).repartition(1).mapInArrow(_fit(threshold), "ordinary binary, toxic binary, curve binary").collect()
     if not got:
         return None
     m = Model(bytes(got[0].ordinary), bytes(got[0].toxic))
