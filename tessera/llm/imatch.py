@@ -19,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import quoted
 from tessera.llm.parity_join import _targets
 from tessera.llm.text import ALNUM, U, Block, blocks, mix
-from tessera.plans.session import ship, width
+from tessera.plans.session import ship, table, width
 
 LEAST, MOST = 0.002, 0.2
 SUBSETS, ONE_IN = 32, 32
 SALT = [U(int(x)) for x in np.random.default_rng(5).integers(1, 2**63, SUBSETS + 2, dtype=np.uint64)]
+#: Rows alike in id and text that are still dealt one by one; more go as one row with their number.
+ALIKE = 1000
+#: Such keys (16 bytes each) that are broadcast at most.
+BROADCAST = 500_000
 #: Candidate terms (8 bytes each) that are sent to the tasks at most; beyond it terms are counted by a shuffle.
 CANDIDATES = 4_000_000
 
@@ -163,7 +168,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pair(shared):
-    """Rows come by bucket in order; each has its successor behind it, and a bucket ends with a row that is only a successor."""
+    """Rows come by bucket in order; each has its successor behind it, and a bucket ends with a row that is only a successor.
+
+    Of several rows in one, all but the last have their own text behind them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = Printer(shared.value)
@@ -185,7 +193,17 @@ def _edited(rows: list[dict], printer: Printer) -> pa.RecordBatch:
     own = np.concatenate([printer(b) for b in blocks(pa.array(texts, pa.large_string()))])
     new = np.concatenate([printer(b) for b in blocks(pa.array(edited, pa.large_string()))])
     keep = [k for k, (r, s) in enumerate(zip(rows, rows[1:], strict=False)) if not r["extra"] and r["bucket"] == s["bucket"]]
-    near, following = alike(own[:-1], new), alike(own[:-1], own[1:])
+    parts = [_result(rows, keep, texts, edited, own, new, own[1:], [1] * len(keep))]
+    several = [k for k in keep if rows[k]["times"] > 1]
+    if several:
+        mine = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k][: len(texts[k]) // 2] for k in range(len(texts) - 1)]
+        again = np.concatenate([printer(b) for b in blocks(pa.array(mine, pa.large_string()))])
+        parts.append(_result(rows, several, texts, mine, own, again, own[:-1], [rows[k]["times"] - 1 for k in several]))
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
+
+
+def _result(rows: list[dict], keep: list[int], texts: list[str], edited: list[str], own: np.ndarray, new: np.ndarray, following: np.ndarray, times: list[int]) -> pa.RecordBatch:
+    near, next_ = alike(own[:-1], new), alike(own[:-1], following)
     a, b = shown(own), shown(new)
     return pa.RecordBatch.from_arrays(
         [
@@ -195,9 +213,10 @@ def _edited(rows: list[dict], printer: Printer) -> pa.RecordBatch:
             pa.array([a[k] for k in keep], pa.string()),
             pa.array([b[k] for k in keep], pa.string()),
             pa.array(near[keep]),
-            pa.array(following[keep]),
+            pa.array(next_[keep]),
+            pa.array(times, pa.int64()),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"],
     )
 
 
@@ -205,7 +224,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs' ids with their fingerprint (one pass, no shuffle but for the lexicon). Null texts count as empty."""
     spark = docs.sparkSession
     ship(spark)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(lexicon(src.select("text"), least, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +236,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most: float = MOST, alike_rows: int = ALIKE) -> DataFrame:
     """Each text's fingerprint against that of the text with its last half replaced and that of the next document.
 
     The next document is the one of the next lower id (null ids come last; of equal ids, in order of a hash of the
     text); after the last comes the first, and a single row follows itself. The texts move once: to one
     of as many id ranges as the session has partitions; a range's first row goes to the range before as well. An
-    id that many rows share is split by the texts' hash. Empty tables give none; null texts count as empty.
+    id that many rows share is split by the texts' hash; more than alike_rows rows of one id and text go as one row with their number. Empty tables
+    give none; null texts count as empty.
     """
     spark = docs.sparkSession
     ship(spark)
     n = width(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(lexicon(src.select("text"), least, most))
-    keyed = src.withColumn("tie", F.xxhash64("text")).withColumn("back", F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)))
+    keyed = src.withColumn("tie", F.xxhash64("text")).withColumn("back", F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1))).withColumn("times", F.lit(1).cast("long"))
+    # repeated rows of which there are too many for a partition: few such keys, as each stands for more than alike_rows rows
+    many = keyed.groupBy("back", "tie").count().filter(F.col("count") > alike_rows).select("back", "tie")
+    if not many.isEmpty():
+        many, _ = table(many, "imatch-many")
+        many = F.broadcast(many) if many.count() <= BROADCAST else many
+        once = keyed.join(many, ["back", "tie"], "left_semi").groupBy("back", "tie", "doc_id", "text").agg(F.sum("times").alias("times"))
+        keyed = keyed.join(many, ["back", "tie"], "left_anti").unionByName(once)
     cuts = keyed.agg(F.percentile_approx("back", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
     cuts = sorted(cuts or [])
     # a value that is several cuts: its rows are split by their hash
@@ -252,6 +279,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     # one row for each bucket, so as many as partitions
     first = spark.createDataFrame([(back, tie, b) for (back, tie), b in to.items()], "back long, tie long, before int")
     places = F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(False).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))))
-    dealt = keyed.join(F.broadcast(first), ["back", "tie"], "left").select("doc_id", "text", "back", "tie", F.explode(places).alias("p")).select("doc_id", "text", "back", "tie", "p.bucket", "p.extra")
+    dealt = keyed.join(F.broadcast(first), ["back", "tie"], "left").select("doc_id", "text", "back", "tie", "times", F.explode(places).alias("p")).select("doc_id", "text", "back", "tie", "times", "p.bucket", "p.extra")
     dealt = dealt.repartition(n, F.element_at(target, F.pmod(F.col("bucket"), F.lit(n)) + 1)).sortWithinPartitions("bucket", "extra", "back", "tie")
-    return dealt.select("doc_id", "text", "bucket", "extra").mapInArrow(_pair(shared), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.select("doc_id", "text", "bucket", "extra", "times").mapInArrow(_pair(shared), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long")
+    return out.withColumn("times", F.explode(F.when(F.col("times") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("times"))))).drop("times")
