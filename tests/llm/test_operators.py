@@ -6,6 +6,8 @@ import re
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +297,55 @@ def test_imatch(spark, docs, rows):
     assert imatch.edits(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def imatch_brute(rows, least, most):
+    """Lexicon, sets of hashed terms and likenesses from plain counting, in the order of descending ids."""
+    terms = lambda t: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW)))
+    df = {}
+    for _, t in rows:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    words = sorted(w for w, n in df.items() if least * len(rows) <= n <= most * len(rows))
+    block = next(blocks(pa.array([" ".join(words)])))
+    code = dict(zip(words, imatch.distinct(block)[1][np.argsort(np.argsort(block.words(ALNUM)[2]))].tolist(), strict=True))
+    of = {w: [k for k in range(imatch.SUBSETS) if int(imatch.mix(np.array([c], np.uint64) ^ imatch.SALT[k])[0]) % imatch.ONE_IN == 0] for w, c in code.items()}
+
+    def sets(t):
+        mine = frozenset(terms(t) & code.keys())
+        whole = mine if mine else ("bare", frozenset(terms(t)))
+        return [whole if terms(t) else None, *(frozenset(w for w in mine if k in of[w]) or None for k in range(imatch.SUBSETS))]
+
+    def likeness(a, b):
+        pairs = [(x, y) for x, y in zip(sets(a), sets(b), strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+    out = {}
+    rows = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 2
+        edited = t[: len(t) - n] + nxt[:n]
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(t, edited), 9), round(likeness(t, nxt), 9), sets(t), sets(edited))
+    return out
+
+
+def test_imatch_against_brute_force(spark):
+    r = random.Random(21)
+    topics = [[f"t{k}x{i}" for i in range(12)] for k in range(6)]
+    rows = [(i, " ".join(r.choice(topics[i % 6] + ["common", f"rare{i}"]) for _ in range(r.randrange(1, 25)))) for i in range(90)] + [(500, None), (501, ""), (502, "alone"), (503, "common")]
+    want = imatch_brute(rows, 0.03, 0.3)
+    got = {x.doc_id: x for x in imatch.edits(spark.createDataFrame(rows, "doc_id long, text string"), least=0.03, most=0.3).collect()}
+    assert {i: (x.n_chars, x.edited_sha256, round(x.near_edited, 9), round(x.near_next, 9)) for i, x in got.items()} == {i: w[:4] for i, w in want.items()}
+    prints = [(got[i].fingerprint, want[i][4]) for i in got] + [(got[i].edited_fingerprint, want[i][5]) for i in got]
+    assert all((a == b) == (x == y) for a, x in prints for b, y in prints) and len({p for p, _ in prints}) > 60
+
+
+def test_imatch_of_very_many_rows_alike(spark):
+    rows = [(9, "nine a b c"), *[(7, "seven d e f g")] * 40, *[(None, "none h i")] * 30, (5, "five j"), (7, "seven other")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, some = (sorted(map(tuple, imatch.edits(d, alike_rows=k).collect()), key=repr) for k in (1000, 10))
+    assert one == some and len(one) == len(rows)
+
+
 def test_imatch_split_of_a_hot_id(spark):
     rows = [(None if i % 2 else i, f"text number {i}", "", "", 0) for i in range(200)]
     got = imatch.edits(spark.createDataFrame(rows, DOCS)).collect()
@@ -303,6 +354,39 @@ def test_imatch_split_of_a_hot_id(spark):
     assert all(r.edited_sha256 in texts for r in got)
 
 
+def test_quality_scores_are_sparse_dot_products(spark):
+    """Scores under given weights against features that are counted one by one."""
+    r = np.random.default_rng(3)
+    weights = r.normal(size=(1 << quality.BITS) + 1)
+    texts = ["One two, TWO three!", "", "same same same", "x" * 300, "tab\tand line", "é日本 words 12 (34)", "a b a b a b"]
+    want = []
+    for t in texts:
+        block = next(blocks(pa.array([t])))
+        begin, end, h, first = block.words(SOLID)
+        shape = quality.shapes(block, begin, end, h, first)
+        total = weights[-1]
+        for view, sizes, g in ((0, (1, 2), h.tolist()), (1, (1, 2, 3), shape.tolist())):
+            count = {}
+            for n in sizes:
+                for j in range(len(g) - n + 1):
+                    v = sum(g[j + k] * int(quality.STEP[k]) for k in range(n)) % 2**64
+                    place = int(quality.mix(np.array([v], np.uint64) ^ quality.STEP[2 * n + view])[0]) >> (64 - quality.BITS)
+                    count[place] = count.get(place, 0) + 1
+            norm = sum(np.log1p(c) ** 2 for c in count.values()) ** 0.5
+            total += sum(np.log1p(c) / norm * weights[p] for p, c in count.items())
+        want.append(1 / (1 + np.exp(-total)))
+    got = {x.doc_id: x.score for x in quality.score(spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id long, text string"), weights).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want) and abs(got[99] - got[1]) < 1e-12
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(200)] + [(2, "two"), (3, None)], "doc_id long, body string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    got = quality.labelled(docs, labels, "quality", 5, None, 10, text_col="body").collect()
+    assert sorted(x.text for x in got)[0] == "" and len(got) == 3
+    assert quality.labelled(docs, labels, "quality", 5, None, 2, text_col="body").count() <= 2
+
+
 def test_quality_learns_and_holds_out(spark):
     r = random.Random(1)
     rows = [(i, (prose(r, 60).upper().replace(" ", "!! ") if i % 3 == 0 else prose(r, 60)), "", "", 0) for i in range(400)] + [(1000, None, "", "", 0), (1001, "", "", "", 0), (None, "x", "", "", 0)]
@@ -315,6 +399,28 @@ def test_quality_learns_and_holds_out(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got)
 
 
+def test_toxicity_gains_are_differences_of_window_lengths(spark):
+    """Scores under given dictionaries and curve against windows that are cut and compressed one by one."""
+    m = toxicity.Model(b" the usual words of any text " * 5, b" the usual words of any text " * 4 + b" vile rotten beast ")
+    m.weight[:] = np.linspace(0.5, -0.5, len(m.weight))
+    texts = [" ".join(["some", "usual", "words"] * 12 + ["Vile!", "rotten-beast"]), "vile", "", "the usual words of any text " * 9, "é" * 50]
+
+    def size(content, w):
+        return int(toxicity.Lengths(content)(w, np.array([0]), np.array([len(w)]))[0])
+
+    rows = []
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+        cut = [(" " + " ".join(w[i : i + toxicity.WINDOW]) + " ").encode() for i in range(0, len(w), toxicity.WINDOW)]
+        gain = sorted((size(m.ordinary, x) - size(m.toxic, x) for x in cut), reverse=True)
+        top = [min(max(g, 0), 12) for g in gain[: toxicity.TOP]] + [0] * (toxicity.TOP - len(gain[: toxicity.TOP]))
+        rows.append(top + [np.log1p(sum(g >= k + 2 for g in gain)) for k in range(toxicity.TOP)] + [np.log1p(len(cut))])
+    assert np.allclose(m.gains(pa.array(texts)), rows) and rows[0][0] > 0
+    want = 1 / (1 + np.exp(-(np.array(rows) @ m.weight[:-1] + m.weight[-1])))
+    got = toxicity.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()
+    assert np.allclose([x._toxic for x in sorted(got)], want)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     r = random.Random(1)
     bad = ["horriblefool", "nastyrat", "vilebeast", "grimtoad"]
