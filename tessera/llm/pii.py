@@ -135,11 +135,17 @@ def tokens(text: Column, seeds: Column) -> Column:
 
 
 def discoveries(edges: DataFrame) -> DataFrame:
-    """(pattern, item) of confident patterns and high-scoring instances that are no seeds. edges: pattern, item, w, seed."""
+    """(pattern, item) of confident patterns and high-scoring instances that are no seeds. edges: pattern, item, w, seed.
+
+    Scores are written each round: joined as tables, items and patterns with very many edges can be split by Spark.
+    """
     score = edges.groupBy("item").agg(F.max(F.col("seed").cast("double")).alias("fixed")).withColumn("score", F.col("fixed"))
     for _ in range(ROUNDS):
+        score, _ = table(score, "pii-items")
         pattern = edges.join(score, "item").groupBy("pattern").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTH)).alias("conf"), F.sum(F.col("fixed")).alias("seeds"))
+        pattern, _ = table(pattern, "pii-patterns")
         mean = edges.join(pattern, "pattern").groupBy("item").agg((F.sum(F.col("w") * F.col("conf")) / F.sum("w")).alias("mean"))
+        mean, _ = table(mean, "pii-means")
         score = score.join(mean, "item").select("item", "fixed", F.greatest("fixed", "mean").alias("score"))
     good = pattern.filter((F.col("conf") >= CONFIDENT) & (F.col("seeds") >= SEEDS)).select("pattern")
     new = score.filter((F.col("fixed") == 0) & (F.col("score") >= CONFIDENT)).select("item")
