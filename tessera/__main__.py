@@ -36,8 +36,9 @@ def main(argv: list[str] | None = None) -> int:
         return 1 if e.code else 0
     from pyspark.sql import SparkSession
 
-    from tessera.plans import codegraph
+    from tessera.plans import codegraph, observability
 
+    observability.handle()
     spark = SparkSession.builder.appName("tessera").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     if a.command == "generate":
         print(json.dumps(codegraph.generate(spark, a.root, a.config, a.out, a.force, a.include_tests)))

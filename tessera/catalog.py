@@ -257,15 +257,12 @@ def j8_cache_difference(t):
 
 @query("select source, case when target in (select id from files where k % 3 <> 0) then target end as target, case when target in (select id from files where k % 3 <> 0) then 'file' else 'unresolved' end as kind from edges")
 def j9_dangling_targets(t):
-    there = t.files().filter("k % 3 <> 0").select(F.col("id").alias("target"), F.lit(True).alias("ok"))
-    return edges(t).join(there, "target", "left").select("source", F.when(F.col("ok"), F.col("target")).alias("target"), F.when(F.col("ok"), "file").otherwise("unresolved").alias("kind"))
+    return G.resolved(edges(t), t.files().filter("k % 3 <> 0"))
 
 
 @query(", hidden as (select id from symbols where exported) select distinct caller, callee from lines where caller not in (select id from hidden) and callee not in (select id from hidden)")
 def j10_hidden_symbols(t):
-    hidden = t.symbols().filter("exported").select("id")
-    c = t.lines().select("caller", "callee").distinct()
-    return c.join(hidden, c.caller == hidden.id, "left_anti").join(hidden, c.callee == hidden.id, "left_anti")
+    return G.without_hidden(t.lines().select("caller", "callee").distinct(), t.symbols().filter("exported"))
 
 
 @query("select source, target, caller, callee, count(*) as n from lines group by all")
@@ -293,6 +290,11 @@ def g3_node_assembly(t):
     return graph_nodes(t).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
+@query("select id, kind, name, file_id, language, module_id, reason, symbol_kind from nodes")
+def g3_node_rows(t):
+    return graph_nodes(t).select("id", "kind", "name", "file_id", "language", "module_id", "reason", "symbol_kind")
+
+
 @query("select source, target, 'm' || arg_min(l_partkey, (l_orderkey, line, l_partkey)) as specifier, bool_or(re_export) as via_re_export, string_agg(cast(line as varchar), ',' order by l_orderkey, line, l_partkey) as lines from lines group by 1, 2")
 def g4_import_merge(t):
     return G.merge_imports(raw_imports(t)).withColumn("lines", F.array_join("lines", ","))
@@ -368,9 +370,28 @@ def a11_counts(t):
     return graph_nodes(t).groupBy("kind").agg(F.count("*").alias("n")).union(edges(t).agg(F.lit("edge"), F.count("*")))
 
 
-@query("select module_id, round(avg(k), 6) as x, min(k) as lo, max(k) as hi from files where module_id is not null group by 1")
+# Modules by the smallest directory of their files, which serves as their name here.
+FLOW = ", mn as (select module_id, min(dir) as name from files where module_id is not null group by 1), fr as (select id, case when module_id is null then 'unassigned' else 'module-' || module_id end as region, case when module_id is null then 1 else 0 end as rank, module_id from files union all select id, 'external', 2, null from exts), fc as (select region, row_number() over (order by min(rank), coalesce(min(name), ''), min(module_id)) - 1 as col from fr left join mn using (module_id) group by 1), flow as (select id, region, col, row_number() over (partition by region order by id) - 1 as r from fr join fc using (region)), placed as (select *, cast(60 + 220 * col as double) as x, cast(88 + 58 * r as double) as y from flow) "
+
+
+def _flow(t):
+    names = t.files().filter("module_id is not null").groupBy("module_id").agg(F.min("dir").alias("name"))
+    return G.flow(t.files(), G.externals(t.externals()), names)
+
+
+@query(FLOW + "select region, round(avg(x), 6) as x, round(avg(y), 6) as y, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y from placed group by 1")
 def a12_centroids(t):
-    return t.files().filter("module_id is not null").groupBy("module_id").agg(F.round(F.avg("k"), 6).alias("x"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return G.boxes(_flow(t))
+
+
+@query(FLOW + "select * from placed")
+def v5_flow_layout(t):
+    return _flow(t)
+
+
+@query("select source, target, string_agg(case when l_orderkey % 3 = 0 then 'line ' || line else 'lines ' || line || '-' || (line + l_orderkey % 3) end, ', ' order by l_orderkey, line, l_partkey) as label from lines group by 1, 2")
+def p15_described_locations(t):
+    return G.described(t.lines().select("source", "target", F.struct("l_orderkey", "line", "l_partkey").alias("ord"), F.col("line").alias("start_line"), (F.col("line") + F.col("l_orderkey") % 3).alias("end_line")))
 
 
 @query(", c as (select pkg, split_part(dir, '/', 2) as child, count(*) as n from files group by 1, 2), r as (select *, row_number() over (partition by pkg order by n desc, child) as r from c) select pkg, string_agg(child, '+' order by r) as name from r where r <= 4 group by 1")
@@ -469,9 +490,9 @@ def m4_classify(t):
 
 @query("select id, case when k % 4 = 0 then null when k % 4 = 1 then (select max(module_id) from files) + 1 else module_id end as module_id, case when k % 4 = 0 then 'config' when k % 4 = 1 then null else reason end as reason from files")
 def m5_test_bucket(t):
-    most = t.files().agg((F.max("module_id") + 1).alias("bucket"))
-    k = F.col("k") % 4
-    return t.files().crossJoin(F.broadcast(most)).select("id", F.when(k == 0, None).when(k == 1, F.col("bucket")).otherwise(F.col("module_id")).alias("module_id"), F.when(k == 0, "config").when(k == 1, None).otherwise(F.col("reason")).alias("reason"))
+    f, k = t.files(), F.col("k") % 4
+    bucket = f.agg(F.max("module_id") + 1)
+    return f.filter(k > 1).select("id", "module_id", "reason").unionByName(G.bucketed(f.filter(k <= 1), k == 1, bucket))
 
 
 @query(MAJOR + "select id, case when module_id is null then null else coalesce(m, module_id) end as module_id from files left join major using (dir)")
@@ -481,9 +502,7 @@ def m8_reconcile(t):
 
 @query("select id, case when n >= 2 then m end as module_id, case when m is null then reason when n < 2 then 'undersized' end as reason from (select id, reason, case when module_id is null then null else module_id * 100 + k % 97 end as m, count(*) over (partition by case when module_id is null then null else module_id * 100 + k % 97 end) as n from files)")
 def m9_minimum_size(t):
-    f = t.files().select("id", "reason", (F.col("module_id") * 100 + F.col("k") % 97).cast("int").alias("m"))
-    f = f.withColumn("n", F.count("*").over(Window.partitionBy("m")))
-    return f.select("id", F.when(F.col("n") >= 2, F.col("m")).alias("module_id"), F.when(F.col("m").isNull(), F.col("reason")).when(F.col("n") < 2, "undersized").alias("reason"))
+    return G.minimum_size(t.files().select("id", "reason", (F.col("module_id") * 100 + F.col("k") % 97).cast("int").alias("module_id")))
 
 
 @query("select count(distinct split_part(id, '/', 1)) = 1 as universal, min(split_part(id, '/', 1)) as first from files where module_id is not null")
@@ -496,6 +515,25 @@ def n2_child_names(t):
     return G.child_names(t.files().withColumn("module_id", (F.col("k") % 3).cast("int")))
 
 
+@query()
+def n3_n4_settled_names(t):
+    """Two modules in each region and one over all regions: the names that the four candidates settle on."""
+    from tessera.operators import naming
+
+    regions = t.read("region").select(F.col("r_name").alias("pkg"), F.row_number().over(Window.orderBy("r_name")).alias("rank"))  # regions, not files
+    f = t.files().join(F.broadcast(regions), "pkg").select("id", F.when(F.col("k") % 7 == 0, 99).otherwise(F.col("rank") * 2 + F.col("k") % 2).cast("int").alias("module_id"), "pkg", F.col("pkg").alias("pkg_name"))
+    return naming.names(f)
+
+
+@query()
+def m7_refine(t):
+    """Modules over many directories, split by their own inner edges; the module of a region's files."""
+    regions = t.read("region").select(F.col("r_name").alias("pkg"), F.row_number().over(Window.orderBy("r_name")).cast("int").alias("module_id"))  # regions, not files
+    f = t.files().drop("module_id", "reason").join(F.broadcast(regions), "pkg").select("id", "module_id", F.lit(None).cast("string").alias("reason"))
+    e = edges(t).join(f.select(F.col("id").alias("source"), F.col("module_id").alias("m")), "source").join(f.select(F.col("id").alias("target"), F.col("module_id").alias("n")), "target").filter("m = n").select("source", "target")
+    return M.refine(f, G.undirected(G.weights(e)), f.select("module_id").distinct())
+
+
 @query("select distinct a.module_id as src, b.module_id as dst from edges join files a on a.id = source join files b on b.id = target where a.module_id <> b.module_id")
 def r1_module_graph(t):
     return G.module_graph(edges(t), t.files())
@@ -547,13 +585,18 @@ def v6_dimmed(t):
 
 @query("select id, kind from nodes where kind in ('file','external')")
 def v7_view_scope(t):
-    return graph_nodes(t).filter("kind in ('file', 'external')").select("id", "kind")
+    return G.scope(graph_nodes(t), edges(t))[0].select("id", "kind")
+
+
+@query(", scoped as (select id from nodes where kind in ('file','external')) select source, target from edges where source in (select id from scoped) and target in (select id from scoped)")
+def v7_scoped_edges(t):
+    return G.scope(graph_nodes(t), edges(t))[1]
 
 
-@query("select sha256(string_agg(n_name || ':' || n_nationkey, ',' order by n_name)) as epoch from nation", base=False)
+@query("select sha256('v1|' || string_agg(n_name || ':' || sha256(n_name || '/' || n_nationkey), ',' order by n_name)) as epoch from nation", base=False)
 def i1_epoch(t):
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey"))), lambda x: F.concat(x["n_name"], F.lit(":"), x["n_nationkey"].cast("string")))
-    return t.read("nation").agg(F.sha2(F.array_join(rows, ","), 256).alias("epoch"))
+    content = F.concat("n_name", F.lit("/"), F.col("n_nationkey").cast("string"))
+    return G.epoch(t.read("nation").select(F.col("n_name").alias("path"), F.sha2(content, 256).alias("content_hash")), "v1")
 
 
 @query(DIFF + "select state, count(*) as n from d group by 1", base=False)

@@ -237,6 +237,73 @@ def reconcile(files: DataFrame) -> DataFrame:
     return files.join(m, "dir", "left").select("id", F.when(F.col("module_id").isNull(), None).otherwise(F.coalesce("major", "module_id")).alias("module_id"))
 
 
+def minimum_size(files: DataFrame, least: int = 2) -> DataFrame:
+    """id, module_id, reason: files of modules with fewer than least files are unassigned as undersized."""
+    size = files.filter("module_id is not null").groupBy("module_id").agg(F.count("*").alias("n"))
+    small = F.col("n") < least
+    return files.join(size, "module_id", "left").select("id", F.when(F.col("n") >= least, F.col("module_id")).alias("module_id"), F.when(small, "undersized").otherwise(F.col("reason")).alias("reason"))
+
+
+def bucketed(files: DataFrame, test: Column, bucket: DataFrame) -> DataFrame:
+    """id, module_id, reason of test and configuration files: tests share the bucket (one row, one column), configuration has no module."""
+    return files.crossJoin(F.broadcast(bucket.toDF("_bucket"))).select("id", F.when(test, F.col("_bucket")).cast("int").alias("module_id"), F.when(~test, "config").alias("reason"))
+
+
+def epoch(inputs: DataFrame, settings: str) -> DataFrame:
+    """One row, epoch: a hash of the settings and of all inputs (path, content_hash) in order of path. Another epoch makes every cached file stale."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("path", "content_hash"))), lambda x: F.concat_ws(":", x["path"], x["content_hash"]))
+    return inputs.agg(F.sha2(F.concat_ws("|", F.lit(settings), F.array_join(pairs, ",")), 256).alias("epoch"))
+
+
+def resolved(edges: DataFrame, there: DataFrame) -> DataFrame:
+    """source, target, kind: a target that is not there (id) is null and unresolved."""
+    known = there.select(F.col("id").alias("target"), F.lit(True).alias("_ok"))
+    return edges.join(known, "target", "left").select("source", F.when(F.col("_ok"), F.col("target")).alias("target"), F.when(F.col("_ok"), "file").otherwise("unresolved").alias("kind"))
+
+
+def without_hidden(calls: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Calls (caller, callee) with neither end hidden (id)."""
+    return calls.join(hidden.select(F.col("id").alias("caller")), "caller", "left_anti").join(hidden.select(F.col("id").alias("callee")), "callee", "left_anti").select(*calls.columns)
+
+
+def scope(ns: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the module view (files and externals), and the edges among them."""
+    shown = ns.filter("kind in ('file', 'external')")
+    return shown, induced(edges, shown.select("id"))
+
+
+# Fixed values of the flow layout: left margin, top of the first row, height of a row, width of a column.
+LEFT, TOP, ROW, COLUMN = 60, 88, 58, 220
+
+
+def flow(files: DataFrame, externals: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """id, region, col, r, x, y: a column for each region, a row for each node in order of id.
+
+    Regions are modules in order of name (names: module_id, name) and number, then unassigned files, then externals.
+    """
+    region = F.when(F.col("module_id").isNull(), "unassigned").otherwise(F.concat(F.lit("module-"), "module_id"))
+    rows = files.select("id", region.alias("region"), F.when(F.col("module_id").isNull(), 1).otherwise(0).alias("rank"), "module_id")
+    if externals is not None:
+        rows = rows.unionByName(externals.select("id", F.lit("external").alias("region"), F.lit(2).alias("rank"), F.lit(None).cast("int").alias("module_id")))
+    cols = rows.select("region", "rank", "module_id").distinct()
+    cols = cols.join(names.select("module_id", "name"), "module_id", "left") if names is not None else cols.withColumn("name", F.lit(None).cast("string"))
+    cols = cols.withColumn("col", F.row_number().over(Window.orderBy("rank", F.coalesce("name", F.lit("")), "module_id")) - 1)  # regions, not files
+    r = F.row_number().over(Window.partitionBy("region").orderBy("id")) - 1
+    placed = rows.join(F.broadcast(cols.select("region", "col")), "region").withColumn("r", r)
+    return placed.select("id", "region", F.col("col").cast("long").alias("col"), F.col("r").cast("long").alias("r"), (LEFT + COLUMN * F.col("col")).cast("double").alias("x"), (TOP + ROW * F.col("r")).cast("double").alias("y"))
+
+
+def boxes(placed: DataFrame) -> DataFrame:
+    """region, x, y (centroid), and the corners of the box around its nodes."""
+    return placed.groupBy("region").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")))
+
+
+def described(places: DataFrame) -> DataFrame:
+    """source, target, label: where an edge stands, in order. places: source, target, ord, start_line, end_line."""
+    one = F.when(F.col("start_line") == F.col("end_line"), F.concat(F.lit("line "), "start_line")).otherwise(F.concat(F.lit("lines "), "start_line", F.lit("-"), "end_line"))
+    return places.groupBy("source", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", one.alias("text")))), lambda x: x["text"]), ", ").alias("label"))
+
+
 def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id, level: breadth-first from start (id). A frontier and the visited set, each level cut from its lineage."""
     from tessera.plans.session import cut

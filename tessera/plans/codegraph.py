@@ -21,6 +21,7 @@ from tessera.functions.paths import ancestors, basename, container, extension
 from tessera.operators import graph as G
 from tessera.operators import modules as M
 from tessera.operators import naming, resolve
+from tessera.plans import observability
 from tessera.plans.session import cut, table
 from tessera.sources import manifests, tree
 
@@ -89,8 +90,10 @@ def cached(spark: SparkSession, files: DataFrame, folder: str | None, epoch: str
 def build(spark: SparkSession, root: str, exclude: list[str] | None = None, include_tests: bool = False, cache: str | None = None, force: bool = False) -> CodeGraph:
     root = os.path.abspath(root)
     exclude = tree.config(root)["exclude"] if exclude is None else exclude
-    texts, _ = table(tree.texts(spark, root, exclude), "texts")
-    packages, _ = table(manifests.packages(texts, root), "packages")
+    with observability.stage("discovery") as found:
+        texts, _ = table(tree.texts(spark, root, exclude), "texts")
+        packages, _ = table(manifests.packages(texts, root), "packages")
+        found.update(texts=texts.count(), packages=packages.count())
     files = texts.withColumn("extension", extension(basename(F.col("path")))).withColumn("language", language_of(F.col("extension"))).filter("language is not null")
     if not include_tests:
         files = files.filter(~is_test(F.col("path")))
@@ -99,11 +102,22 @@ def build(spark: SparkSession, root: str, exclude: list[str] | None = None, incl
     near = up.join(packages.select("dir", "family", F.col("id").alias("package"), F.col("name").alias("project_name")), ["dir", "family"])
     near = near.groupBy("path").agg(F.min_by(F.struct(F.when(F.col("dir") == ".", "").otherwise(F.col("dir")).alias("project_dir"), "project_name", "package"), "pos").alias("m")).select("path", "m.*")
     placed = files.join(near, "path", "left")
-    inputs = texts.filter(basename(F.col("path")).isin(*tree.MANIFESTS)).select(F.concat_ws(":", "path", F.sha2("content", 256)).alias("x"))
-    known = inputs.agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("x")).first()["x"]  # manifests only
-    epoch = spark.range(1).select(F.sha2(F.lit(json.dumps([VERSION, sorted(exclude), include_tests, known])), 256)).first()[0]
-    extracted = cached(spark, placed.filter("package is not null"), cache, epoch, force)
-    return assemble(placed, packages, extracted, include_tests)
+    name = basename(F.col("path"))
+    inputs = texts.filter(name.isin(*tree.MANIFESTS, *tree.LOCKFILES) | (F.col("path") == "tsconfig.json")).select("path", F.sha2("content", 256).alias("content_hash"))
+    epoch = G.epoch(inputs, json.dumps([VERSION, sorted(exclude), include_tests])).first()["epoch"]
+    with observability.stage("extraction") as found:
+        extracted = cached(spark, placed.filter("package is not null"), cache, epoch, force)
+        found["languages"] = per_language(extracted)
+    with observability.stage("assembly") as found:
+        graph = assemble(placed, packages, extracted, include_tests)
+        found.update(graph.counts())
+    return graph
+
+
+def per_language(extracted: DataFrame) -> dict[str, dict[str, int]]:
+    """For each language how many files were taken, parsed and skipped."""
+    rows = extracted.groupBy("language").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).collect()  # one row a language
+    return {r["language"]: {"files": r["n"], "extracted": r["ok"], "skipped": r["n"] - r["ok"]} for r in sorted(rows)}
 
 
 def assemble(placed: DataFrame, packages: DataFrame, extracted: DataFrame, include_tests: bool) -> CodeGraph:
@@ -154,10 +168,7 @@ def modules_of(files: DataFrame, imports: DataFrame, packages: DataFrame) -> tup
     q = G.modularity(und, part).first()["q"]  # one number
     judged = G.classify(und, part, float(q or 0.0)).select("id", F.col("module_id").cast("int").alias("module_id"), "reason")
     bucket = part.agg(F.coalesce(F.max("c") + 1, F.lit(0)).alias("bucket"))
-    special = files.join(plain, "id", "left_anti").crossJoin(F.broadcast(bucket))
-    test = is_test(F.col("id"))
-    special = special.select("id", F.when(test, F.col("bucket")).cast("int").alias("module_id"), F.when(~test, "config").alias("reason"))
-    now = judged.unionByName(special)
+    now = judged.unionByName(G.bucketed(files.join(plain, "id", "left_anti"), is_test(F.col("id")), bucket))
     owner = G.nearest(files.select("id"), packages.select("dir", F.col("dir").alias("owner"), F.struct("name", "id").alias("name")).groupBy("dir", "owner").agg(F.min("name").alias("ord")))
     named = packages.groupBy(F.col("dir").alias("owner")).agg(F.min_by("name", "id").alias("pkg_name"))
     place = cut(files.select("id", F.array_join(container(F.col("id")), "/").alias("dir")).join(owner.join(named, "owner").withColumnRenamed("owner", "pkg"), "id", "left"))
@@ -169,8 +180,7 @@ def modules_of(files: DataFrame, imports: DataFrame, packages: DataFrame) -> tup
     now = cut(M.refine(now, G.undirected(G.weights(inner)), wide))
     voted = G.reconcile(now.join(place, "id")).withColumnRenamed("module_id", "m")
     now = now.join(voted, "id").select("id", F.col("m").alias("module_id"), "reason")
-    size = now.filter("module_id is not null").groupBy("module_id").agg(F.count("*").alias("n"))
-    now = cut(now.join(size, "module_id", "left").select("id", F.when(F.col("n") >= 2, F.col("module_id")).alias("module_id"), F.when(F.col("n") < 2, "undersized").otherwise(F.col("reason")).alias("reason")))
+    now = cut(G.minimum_size(now))
     names = cut(naming.names(now.join(place, "id")))
     graph = G.module_graph(imports.select("source", "target"), now)
     order = M.module_order(names.select(F.lit("one").alias("repo_id"), "id", "name"), graph.select(F.lit("one").alias("repo_id"), "src", "dst"))
@@ -227,8 +237,10 @@ def generate(spark: SparkSession, root: str = ".", config_path: str | None = Non
     given = tree.config(root, config_path)
     out = Path(root, out_dir or given["outDir"])
     out.mkdir(parents=True, exist_ok=True)
-    graph = build(spark, root, given["exclude"], include_tests, str(out), force)
-    write_document(graph, str(out / "map.json"))
+    with observability.run(root=str(Path(root).resolve())):
+        graph = build(spark, root, given["exclude"], include_tests, str(out), force)
+        with observability.stage("document"):
+            write_document(graph, str(out / "map.json"))
     return {"jsonPath": str(out / "map.json"), "nodeCount": graph.nodes.count(), "edgeCount": graph.edges.count()}
 
 

@@ -17,6 +17,8 @@ from tessera.plans.session import ship, width
 
 # Files that describe packages.
 MANIFESTS = ["package.json", "go.mod", "Cargo.toml", "pom.xml", "build.gradle.kts", "build.gradle", "pyproject.toml"]
+# Files that pin versions of dependencies.
+LOCKFILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "go.sum", "Cargo.lock"]
 
 
 def config(root: str, path: str | None = None) -> dict:
@@ -59,7 +61,7 @@ def ignored(path: str, folder: bool, rules: list[tuple[str, bool, bool]]) -> boo
 
 
 def walk(root: str, exclude: list[str]) -> Iterator[str]:
-    """Relative paths of sources and manifests; excluded directories are not entered, links not followed."""
+    """Relative paths of sources, manifests, lockfiles and the root's tsconfig; excluded directories are not entered, links not followed."""
     rx = re.compile("|".join([glob(p) for p in exclude] + [glob(p[:-3]) for p in exclude if p.endswith("/**")]) or "(?!)")
     file = Path(root) / ".gitignore"
     rules = ignore_rules(file.read_text(errors="replace")) if file.exists() else []
@@ -73,7 +75,7 @@ def walk(root: str, exclude: list[str]) -> Iterator[str]:
                     continue
                 if e.is_dir():
                     todo.append(rel)
-                elif e.name in MANIFESTS or re.search(r".\.([^.]+)$", e.name) and e.name.rsplit(".", 1)[1] in LANGUAGE:
+                elif e.name in MANIFESTS or e.name in LOCKFILES or rel == "tsconfig.json" or re.search(r".\.([^.]+)$", e.name) and e.name.rsplit(".", 1)[1] in LANGUAGE:
                     yield rel
 
 

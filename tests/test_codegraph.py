@@ -108,6 +108,39 @@ def test_cache_and_generate(spark, tmp_path):
     assert codegraph.generate(spark, root) == fresh
 
 
+def test_a_lockfile_is_part_of_the_epoch(spark, tmp_path):
+    from tessera.operators import graph as G
+
+    files = [("a/package.json", "1"), ("a/yarn.lock", "2")]
+    at = lambda rows: G.epoch(spark.createDataFrame(rows, "path string, content_hash string"), "s").first()["epoch"]
+    assert at(files) == at(files[::-1]) != at([files[0], ("a/yarn.lock", "3")])
+    plant(tmp_path, {"package.json": "{}", "yarn.lock": "", "go.sum": "", "tsconfig.json": "{}", "x/tsconfig.json": "{}", "notes.lock": ""})
+    assert sorted(tree.walk(str(tmp_path), [])) == ["go.sum", "package.json", "tsconfig.json", "yarn.lock"]
+
+
+def test_lines_of_a_run_share_its_id(spark, tmp_path, capsys):
+    import logging
+
+    from tessera.plans import observability
+
+    handlers, propagate = list(observability.log.handlers), observability.log.propagate
+    try:
+        observability.handle()
+        codegraph.generate(spark, plant(tmp_path, {k: v for k, v in TREE.items() if k.startswith("app/") or k == "package.json"}))
+        with pytest.raises(ValueError), observability.stage("broken"):
+            raise ValueError("no\nmore")
+    finally:
+        observability.log.handlers, observability.log.propagate = handlers, propagate
+        observability.log.setLevel(logging.NOTSET)
+    out, err = capsys.readouterr()
+    lines = [json.loads(x) for x in err.splitlines() if x.startswith("{")]
+    assert out == "" and len({x["runId"] for x in lines if x.get("stage") != "broken"}) == 1
+    ends = {x["stage"]: x for x in lines if x["message"] == "stage complete"}
+    assert list(ends) == ["discovery", "extraction", "assembly", "document"] and all(x["durationMs"] >= 0 for x in ends.values())
+    assert ends["extraction"]["languages"] == {"typescript": {"files": 5, "extracted": 4, "skipped": 1}}
+    assert lines[-1] | {"timestamp": "", "durationMs": 0} == {"timestamp": "", "level": "error", "message": "stage failed", "stage": "broken", "durationMs": 0, "error": "no"}
+
+
 def test_empty_tree(spark, tmp_path):
     g = codegraph.build(spark, plant(tmp_path / "e", {"readme.md": "x"}))
     codegraph.write_document(g, str(tmp_path / "m.json"))
