@@ -93,6 +93,15 @@ p as (select row_number() over () as r, page_id, translate(regexp_extract(rest,
 rules(rh, rp, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fit as (select r, rh || rp as rule, v, row_number() over (partition by r order by length(rh || rp) desc, length(rh) desc) as k from p join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
 select p.page_id, p.host, p.path, fit.rule, coalesce(fit.v, 'allow') as verdict from p left join fit on p.r = fit.r and fit.k = 1""",
+    # the table of CRC-32 from its polynomial, then a byte at a time over each text
+    "op9_shards": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+poly as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as p),
+b as (select doc_id, cast(strlen(t) + 1 as bigint) as size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: cast('0x' || h as bigint)) as bytes from d),
+c as (select doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, p[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as text_crc32 from b, poly),
+o as (select *, sum(size) over (order by doc_id nulls first, size, text_crc32 rows unbounded preceding) as last, row_number() over (order by doc_id nulls first, size, text_crc32) as r, sum(size) over () as total from c),
+s as (select *, cast(least((last - size + size // 2) * 8 // total, 7) as int) as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by r) - 1 as slot, cast(null as int) as grown_shard from s""",
     "op10_parity_join": r"""
 with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -211,6 +212,10 @@ def test_shards(spark, docs, rows):
     ordered = sorted(got, key=lambda r: (r.shard, r.slot))
     ids = [-1 if r.doc_id is None else r.doc_id for r in ordered]
     assert ids == sorted(ids) and {r.law for r in got} == {"bytes"}
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted(map(repr, db.execute(f"select {', '.join(names)} from ({queries.ORACLES['op9_shards']})").fetchall())) == sorted(repr(tuple(r[c] for c in names)) for r in got)
 
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
