@@ -19,7 +19,7 @@ SCHEMA = (
 )
 
 
-def record(path: str, language: str, text: str, project_dir: str | None, project_name: str | None) -> dict:
+def record(path: str, language: str, text: str, project_dir: str | None, project_name: str | None, aliases: list[tuple[str, list[str]]] = ()) -> dict:
     """The nested record of one file; ok is false for a text that is not of its language."""
     import hashlib
 
@@ -29,7 +29,8 @@ def record(path: str, language: str, text: str, project_dir: str | None, project
     parsers = {"python": python_source, "go": go_source, "java": java_source, "rust": rust_source, "typescript": script_source, "javascript": script_source}
     out = {"path": path, "language": language, "ok": True, "error": None, "content_hash": hashlib.sha256(text.encode()).hexdigest(), "provides": [], "symbols": [], "imports": [], "calls": [], "links": []}
     try:
-        got = parsers[language].parse(path, text, project_dir, project_name)
+        more = {"aliases": aliases} if parsers[language] is script_source else {}
+        got = parsers[language].parse(path, text, project_dir, project_name, **more)
     except (BadSource, IndexError, KeyError, RecursionError) as e:
         return out | {"ok": False, "error": f"{type(e).__name__}: {e}"}
     # A name's repeats are numbered in source order.
@@ -47,13 +48,16 @@ def record(path: str, language: str, text: str, project_dir: str | None, project
     return out
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """files: path, language, content, project_dir, project_name (of the nearest manifest of the family, or null)."""
+def extract(files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """files: path, language, content, project_dir, project_name (of the nearest manifest of the family, or null).
+
+    aliases: patterns of module names in scripts, each with its targets.
+    """
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [record(*(None if isinstance(x, float) else x for x in r)) for r in pdf[["path", "language", "content", "project_dir", "project_name"]].itertuples(index=False)]
+            rows = [record(*(None if isinstance(x, float) else x for x in r), aliases) for r in pdf[["path", "language", "content", "project_dir", "project_name"]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in COLUMNS])
 
     return files.select("path", "language", "content", "project_dir", "project_name").mapInPandas(run, SCHEMA)

@@ -12,19 +12,32 @@ MODIFIERS = {"public", "private", "protected", "static", "async", "override", "r
 JOINERS = {"=", "+", "-", "*", "/", "%", "&", "|", "^", "?", ":", ",", ".", "?.", "=>", "<", "(", "[", "!", "extends", "as", "satisfies", "in", "of", "instanceof", "new", "await", "typeof", "keyof"}
 
 
-def candidates(path: str, spec: str) -> list[str]:
-    base = pp.normpath(pp.join(pp.dirname(path), spec))
+def candidates(base: str) -> list[str]:
     head, ext = pp.splitext(base)
     swap = {".js": [".ts", ".tsx", ".d.ts"], ".jsx": [".tsx"], ".mjs": [], ".cjs": []}.get(ext, [])
     exact = [base] if ext in (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs") else []
     return [head + e for e in swap] + exact + [base + e for e in ENDINGS] + [pp.join(base, "index" + e) for e in ENDINGS]
 
 
+def aliased(spec: str, aliases: list[tuple[str, list[str]]]) -> list[str]:
+    """Where an alias leads: the pattern that is the name itself, else the one with the longest text before its star."""
+    best, length = [], -1
+    for pattern, targets in aliases:
+        head, star, tail = pattern.partition("*")
+        if not star:
+            if spec == pattern:
+                return targets
+        elif len(head) > length and len(spec) >= len(head) + len(tail) and spec.startswith(head) and spec.endswith(tail):
+            middle = spec[len(head) : len(spec) - len(tail)]
+            best, length = [pp.normpath(t.replace("*", middle, 1)) for t in targets], len(head)
+    return best
+
+
 def package_of(spec: str) -> str:
     return "/".join(spec.split("/")[: 2 if spec.startswith("@") else 1])
 
 
-def parse(path: str, text: str, project_dir: str | None, project_name: str | None) -> Parsed:
+def parse(path: str, text: str, project_dir: str | None, project_name: str | None, aliases: list[tuple[str, list[str]]] = ()) -> Parsed:
     t = Tokens(text, "script")
     out, alias, heads, quiet = Parsed(provides=[f"f:{path}"]), {}, set(), []
 
@@ -44,7 +57,9 @@ def parse(path: str, text: str, project_dir: str | None, project_name: str | Non
     def source(spec, a, b, re_export=False, edge=True):
         spec = spec[1:-1]
         local = spec.startswith((".", "/"))
-        keys = [(k, "f:" + p) for k, p in enumerate(candidates(path, spec))] if local else []
+        bases = [pp.normpath(pp.join(pp.dirname(path), spec))] if local else aliased(spec, aliases)
+        found = [p for base in bases for p in candidates(base)]
+        keys = [(k - len(found), "f:" + p) for k, p in enumerate(found)]  # below 0: before a package of the workspace
         out.imports.append(Site(spec, t.t[a].line, t.t[b].end, keys, [] if local else [(0, package_of(spec)), (1, "@types/" + package_of(spec).lstrip("@").replace("/", "__"))], re_export, edge))
         return len(out.imports) - 1
 

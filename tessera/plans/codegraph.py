@@ -56,7 +56,7 @@ class CodeGraph:
         return {"nodes": self.nodes.count(), "edges": self.edges.count()}
 
 
-def cached(spark: SparkSession, files: DataFrame, folder: str | None, epoch: str, force: bool) -> DataFrame:
+def cached(spark: SparkSession, files: DataFrame, folder: str | None, epoch: str, force: bool, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
     """Extraction of files, taken from the cache where path, content and epoch are the same; a bad cache counts as none."""
     hashed = files.withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
     old = None
@@ -72,10 +72,10 @@ def cached(spark: SparkSession, files: DataFrame, folder: str | None, epoch: str
             old = None
     key = ["path", "content_hash"]
     if old is None:
-        fresh = extract(files)
+        fresh = extract(files, aliases)
     else:
         same = old.join(hashed.select(*key), key, "left_semi").select(*COLUMNS)
-        fresh = extract(hashed.join(old.select(*key), key, "left_anti")).unionByName(same)
+        fresh = extract(hashed.join(old.select(*key), key, "left_anti"), aliases).unionByName(same)
     if state is None:
         return table(fresh, "extracted")[0]
     # A new table beside the old one, then the small state file in one rename.
@@ -104,9 +104,10 @@ def build(spark: SparkSession, root: str, exclude: list[str] | None = None, incl
     placed = files.join(near, "path", "left")
     name = basename(F.col("path"))
     inputs = texts.filter(name.isin(*tree.MANIFESTS, *tree.LOCKFILES) | (F.col("path") == "tsconfig.json")).select("path", F.sha2("content", 256).alias("content_hash"))
-    epoch = G.epoch(inputs, json.dumps([VERSION, sorted(exclude), include_tests])).first()["epoch"]
+    aliases = tree.aliases(root)  # one configuration's entries
+    epoch = G.epoch(inputs, json.dumps([VERSION, sorted(exclude), include_tests, aliases])).first()["epoch"]
     with observability.stage("extraction") as found:
-        extracted = cached(spark, placed.filter("package is not null"), cache, epoch, force)
+        extracted = cached(spark, placed.filter("package is not null"), cache, epoch, force, aliases)
         found["languages"] = per_language(extracted)
     with observability.stage("assembly") as found:
         graph = assemble(placed, packages, extracted, include_tests)

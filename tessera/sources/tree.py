@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath as pp
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -34,6 +35,44 @@ def config(root: str, path: str | None = None) -> dict:
     return {"outDir": given.get("outDir", ".tessera"), "exclude": EXCLUDED + list(given.get("exclude", []))}
 
 
+def relaxed_json(text: str) -> object:
+    """JSON with comments and trailing commas."""
+    quoted = r'("(?:\\.|[^"\\])*")'
+    bare = re.sub(quoted + r"|//[^\n]*|/\*.*?\*/", lambda m: m[1] or " ", text, flags=re.S)
+    return json.loads(re.sub(quoted + r"|,(?=\s*[}\]])", lambda m: m[1] or "", bare))
+
+
+def aliases(root: str, name: str = "tsconfig.json", seen: frozenset[str] = frozenset()) -> list[tuple[str, list[str]]]:
+    """(pattern, targets below root) of the root tsconfig's paths, else of the files it extends, the last of them first.
+
+    Only the root's file governs, packages' own do not. Targets count from baseUrl, else from the file that states
+    them. A file that is missing, is not of that form or extends itself gives none; names of packages to extend are
+    not followed.
+    """
+    file = Path(root, name)
+    if name in seen or not file.is_file():
+        return []
+    try:
+        given = relaxed_json(file.read_text("utf-8", "replace").removeprefix("\ufeff"))
+    except ValueError:
+        return []
+    given = given if isinstance(given, dict) else {}
+    options = given.get("compilerOptions")
+    options = options if isinstance(options, dict) else {}
+    if isinstance(options.get("paths"), dict):
+        base = options.get("baseUrl")
+        at = pp.join(pp.dirname(name), base if isinstance(base, str) else "")
+        return [(k, [pp.normpath(pp.join(at, v)) for v in vs if isinstance(v, str)]) for k, vs in options["paths"].items() if isinstance(vs, list)]
+    more = given.get("extends", [])
+    for up in reversed(more if isinstance(more, list) else [more]):
+        if isinstance(up, str) and up.startswith("."):
+            up = pp.normpath(pp.join(pp.dirname(name), up))
+            got = aliases(root, up if up.endswith(".json") else up + ".json", seen | {name})
+            if got:
+                return got
+    return []
+
+
 def ignore_rules(text: str) -> list[tuple[str, bool, bool]]:
     """(regular expression, negated, directories only) of each line of an ignore file."""
     rules = []

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from tessera.__main__ import main
+from tessera.extraction import script_source
 from tessera.extraction.frames import record
 from tessera.operators import naming
 from tessera.operators.modules import judged
@@ -13,6 +14,10 @@ from tessera.sources import manifests, tree
 
 TREE = {
     "package.json": '{"name": "web", "dependencies": {"left": "^1.2.0", "near": "workspace:*", "nick": "npm:real@2.0.0"}}',
+    "tsconfig.json": '{\n  // shared\n  "extends": "./base",\n  "compilerOptions": {"strict": true,},\n}\n',
+    "base.json": '{"compilerOptions": {"baseUrl": "./app", "paths": {"@b/*": ["none/*", "b/*"], "@b/all": ["b/deep.ts"] /* exact */}}}',
+    "app/tsconfig.json": '{"compilerOptions": {"paths": {"@b/*": ["../svc/*"]}}}',
+    "app/a/three.ts": 'import { help } from "@b/deep";\nimport { Shape } from "@b/all";\nimport { none } from "@b/gone";\nexport const far = () => help();\n',
     "app/a/one.ts": 'import { help as h } from "../b/all";\nimport left from "left";\nexport function run(): string {\n  return `${h()}!`;\n}\n',
     "app/a/two.ts": 'import { run } from "./one";\nimport nick from "nick";\nexport const go = () => run();\n',
     "app/b/all.ts": 'export * from "./deep";\nexport { Shape } from "./deep";\n',
@@ -71,16 +76,17 @@ def test_document(whole):
 def test_imports(whole):
     edges = {(e["source"], e["target"]): e for e in whole[2]["edges"] if e["type"] == "import"}
     assert set(edges) == {
-        ("app/a/one.ts", "app/b/all.ts"), ("app/a/one.ts", "left"), ("app/a/two.ts", "app/a/one.ts"), ("app/a/two.ts", "real"), ("app/b/all.ts", "app/b/deep.ts"),
+        ("app/a/one.ts", "app/b/all.ts"), ("app/a/one.ts", "left"), ("app/a/two.ts", "app/a/one.ts"), ("app/a/two.ts", "real"), ("app/b/all.ts", "app/b/deep.ts"), ("app/a/three.ts", "app/b/deep.ts"),
         ("svc/main.go", "example.org/kit"), ("svc/main.go", "svc/util/util.go"), ("py/main.py", "requests"), ("py/main.py", "py/pkg/work.py"),
         ("jv/src/A.java", "jv/src/B.java"), ("jv/src/A.java", "jv/src/Base.java"), ("jv/src/A.java", "org.kit.core.x:y"), ("rs/src/lib.rs", "rs/src/sub.rs"), ("rs/src/lib.rs", "serde"),
     }
+    assert len(edges["app/a/three.ts", "app/b/deep.ts"]["locations"]) == 2  # @b/deep by pattern, @b/all by name
     assert edges["app/b/all.ts", "app/b/deep.ts"]["viaReExport"] and len(edges["rs/src/lib.rs", "rs/src/sub.rs"]["locations"]) == 2
 
 
 def test_calls(whole):
     assert {(e["source"], e["target"]) for e in whole[2]["edges"] if e["type"] == "call"} == {
-        ("app/a/one.ts#run", "app/b/deep.ts#help"), ("app/a/two.ts#go", "app/a/one.ts#run"), ("app/b/deep.ts#area", "app/b/deep.ts#help"),
+        ("app/a/one.ts#run", "app/b/deep.ts#help"), ("app/a/two.ts#go", "app/a/one.ts#run"), ("app/b/deep.ts#area", "app/b/deep.ts#help"), ("app/a/three.ts#far", "app/b/deep.ts#help"),
         ("svc/main.go#Main", "svc/util/util.go#Do"), ("py/main.py#run", "py/pkg/work.py#act"), ("py/main.py#run", "py/pkg/work.py#mark"),
         ("jv/src/A.java#run", "jv/src/B.java#act"), ("jv/src/A.java#run", "jv/src/A.java#help"), ("rs/src/lib.rs#run", "rs/src/sub.rs#act"), ("rs/src/lib.rs#run", "rs/src/sub.rs#make"),
     }
@@ -137,10 +143,22 @@ def test_lines_of_a_run_share_its_id(spark, tmp_path, capsys):
     assert out == "" and len({x["runId"] for x in lines if x.get("stage") != "broken"}) == 1
     ends = {x["stage"]: x for x in lines if x["message"] == "stage complete"}
     assert list(ends) == ["discovery", "extraction", "assembly", "document"] and all(x["durationMs"] >= 0 for x in ends.values())
-    assert ends["extraction"]["languages"] == {"typescript": {"files": 5, "extracted": 4, "skipped": 1}}
+    assert ends["extraction"]["languages"] == {"typescript": {"files": 6, "extracted": 5, "skipped": 1}}
     assert lines[-1] | {"timestamp": "", "durationMs": 0} == {"timestamp": "", "level": "error", "message": "stage failed", "stage": "broken", "durationMs": 0, "error": "no"}
 
 
+def test_aliases(tmp_path):
+    at = lambda files: tree.aliases(plant(tmp_path / str(len(list(tmp_path.iterdir()))), files))
+    own = '{"extends": "./up.json", "compilerOptions": {"paths": {"x": ["./src/x", 1], "bad": 2, "u//v/*": ["w//*,]"],},},}'
+    assert at({"tsconfig.json": own, "up.json": '{"compilerOptions": {"paths": {"y": ["y"]}}}'}) == [("x", ["src/x"]), ("u//v/*", ["w/*,]"])]
+    assert at({"tsconfig.json": '{"extends": ["./a.json", "./c/b"]}', "a.json": '{"compilerOptions": {"paths": {"y": ["y"]}}}', "c/b.json": '{"compilerOptions": {"paths": {"z": ["z"]}}}'}) == [("z", ["c/z"])]
+    assert at({"tsconfig.json": '{"extends": "./tsconfig.json"}'}) == at({"tsconfig.json": "{"}) == at({"tsconfig.json": "[]"}) == at({"a": ""}) == []
+    got = [("@/*", ["src/*"]), ("@/in/*", ["in/*", "other/*.x"]), ("*.css", ["css"]), ("@/in/one", ["one.ts"])]
+    to = lambda spec: script_source.aliased(spec, got)
+    assert to("@/a/b") == ["src/a/b"] and to("@/in/b") == ["in/b", "other/b.x"] and to("@/in/one") == ["one.ts"]
+    assert to("x.css") == ["css"] and to("left") == [] and to("@") == [] and script_source.aliased("x", []) == []
+
+
 def test_empty_tree(spark, tmp_path):
     g = codegraph.build(spark, plant(tmp_path / "e", {"readme.md": "x"}))
     codegraph.write_document(g, str(tmp_path / "m.json"))
