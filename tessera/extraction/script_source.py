@@ -39,7 +39,7 @@ def package_of(spec: str) -> str:
 
 def parse(path: str, text: str, project_dir: str | None, project_name: str | None, aliases: list[tuple[str, list[str]]] = ()) -> Parsed:
     t = Tokens(text, "script")
-    out, alias, heads, quiet = Parsed(provides=[f"f:{path}"]), {}, set(), []
+    out, alias, heads, quiet, concrete = Parsed(provides=[f"f:{path}"]), {}, set(), [], set()
 
     def statement_end(i):
         """Past the statement that holds token i: at a semicolon or a line break that nothing joins."""
@@ -115,6 +115,8 @@ def parse(path: str, text: str, project_dir: str | None, project_name: str | Non
                 heads.add(i)
                 if word != "constructor" and not word.startswith("#") and (has or "abstract" in mods):
                     out.decls.append(Decl(word, "method", t.t[start].line, t.t[stop - 1].end, exported, owner, lo=start, hi=stop))
+                    if has:
+                        concrete.add((owner, word))
                 i = start = stop
             elif word in (";", ","):
                 i = start = i + 1
@@ -259,6 +261,8 @@ def parse(path: str, text: str, project_dir: str | None, project_name: str | Non
                 out.calls.append(Call(caller, t.text(i), "function", a, b, via=[alias[q][0]], strict=True))
             elif q in alias:
                 out.calls.append(Call(caller, t.text(i), "method", a, b, owner=alias[q][1], via=[alias[q][0]]))
+            elif (of := (out.decls[caller].owner or out.decls[caller].name) if q == "this" else q, t.text(i)) in concrete:
+                out.calls.append(Call(caller, t.text(i), "method", a, b, owner=of, own=True, strict=True))
             else:
                 out.calls.append(Call(caller, t.text(i), "method", a, b))
         elif t.text(i) in alias:

@@ -59,7 +59,7 @@ def linked(start: DataFrame, links: DataFrame, symbols: DataFrame) -> DataFrame:
 def calls(extracted: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """caller, callee, path, ord, start_line, end_line: one row for each candidate of a call.
 
-    Tiers: the imported file or, in scripts, the own one; methods of the named owner; every symbol of that name and kind in the family.
+    Tiers: the imported file or, in scripts, the own one (a method on this or on a class there, where that class has it with a body); methods of the named owner; every symbol of that name and kind in the family.
     Symbols: id, file_id, name, symbol_kind, owner, family.
     """
     site = extracted.select("path", family_of(F.col("language")).alias("family"), F.explode("calls").alias("c")).select("path", "family", "c.*")
@@ -83,7 +83,8 @@ def calls(extracted: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFra
         hit(led.filter("owner is not null"), (F.col("file_id") == F.col("at")) & (F.col("s_name") == F.col("name")) & (F.col("s_owner") == F.col("found")) & method, 1),
         hit(via.filter("family <> 'npm' and kind <> 'method'"), (F.col("file_id") == F.col("file")) & (F.col("s_name") == F.col("name")) & function, 1),
         hit(via.filter("family <> 'npm' and owner is not null"), (F.col("file_id") == F.col("file")) & (F.col("s_name") == F.col("name")) & (F.col("s_owner") == F.col("owner")) & method, 1),
-        hit(site.filter("own"), (F.col("file_id") == F.col("path")) & (F.col("s_name") == F.col("name")) & function, 1),
+        hit(site.filter("own and owner is null"), (F.col("file_id") == F.col("path")) & (F.col("s_name") == F.col("name")) & function, 1),
+        hit(site.filter("own and owner is not null"), (F.col("file_id") == F.col("path")) & (F.col("s_name") == F.col("name")) & (F.col("s_owner") == F.col("owner")) & method, 1),
         hit(site.filter("owner is not null and family <> 'npm'"), (F.col("s_family") == F.col("family")) & (F.col("s_name") == F.col("name")) & (F.col("s_owner") == F.col("owner")) & method, 2),
     ]
     # A script's method on something imported from outside leads nowhere.

@@ -20,6 +20,7 @@ TREE = {
     "app/a/three.ts": 'import { help } from "@b/deep";\nimport { Shape } from "@b/all";\nimport { none } from "@b/gone";\nexport const far = () => help();\n',
     "app/a/one.ts": 'import { help as h } from "../b/all";\nimport left from "left";\nexport function run(): string {\n  return `${h()}!`;\n}\n',
     "app/a/two.ts": 'import { run } from "./one";\nimport nick from "nick";\nexport const go = () => run();\n',
+    "app/b/tool.ts": "abstract class Tool {\n  abstract turn(): void;\n  static make() { return 1; }\n  use() { this.turn(); this.help(); Tool.make(); }\n  help() {}\n}\nclass Saw {\n  turn() { this.lost(); }\n  help() {}\n  static make() {}\n}\n",
     "app/b/all.ts": 'export * from "./deep";\nexport { Shape } from "./deep";\n',
     "app/b/deep.ts": "export function help() {\n  return 1;\n}\nexport class Shape {\n  area(): number {\n    return help();\n  }\n}\n",
     "app/b/bad.ts": "export function broken( {\n",
@@ -87,6 +88,7 @@ def test_imports(whole):
 def test_calls(whole):
     assert {(e["source"], e["target"]) for e in whole[2]["edges"] if e["type"] == "call"} == {
         ("app/a/one.ts#run", "app/b/deep.ts#help"), ("app/a/two.ts#go", "app/a/one.ts#run"), ("app/b/deep.ts#area", "app/b/deep.ts#help"), ("app/a/three.ts#far", "app/b/deep.ts#help"),
+        ("app/b/tool.ts#use", "app/b/tool.ts#help"), ("app/b/tool.ts#use", "app/b/tool.ts#make"), ("app/b/tool.ts#use", "app/b/tool.ts#turn"), ("app/b/tool.ts#use", "app/b/tool.ts#turn#2"),
         ("svc/main.go#Main", "svc/util/util.go#Do"), ("py/main.py#run", "py/pkg/work.py#act"), ("py/main.py#run", "py/pkg/work.py#mark"),
         ("jv/src/A.java#run", "jv/src/B.java#act"), ("jv/src/A.java#run", "jv/src/A.java#help"), ("rs/src/lib.rs#run", "rs/src/sub.rs#act"), ("rs/src/lib.rs#run", "rs/src/sub.rs#make"),
     }
@@ -96,7 +98,7 @@ def test_filters(whole):
     _, graph, _ = whole
     got = lambda **k: {r["id"] for r in graph.filter(**k)[0].collect()}
     assert got(path="svc/util") == {"svc", "svc/util", "svc/util/util.go"} | {f"svc/util/util.go#{n}" for n in ("T", "Do", "Act")}
-    assert got(search="HELP") == {".", "app", "app/b", "app/b/deep.ts", "app/b/deep.ts#help", "jv", "jv/src", "jv/src/A.java", "jv/src/A.java#help"}
+    assert got(search="HELP") == {".", "app", "app/b", "app/b/deep.ts", "app/b/deep.ts#help", "app/b/tool.ts", "app/b/tool.ts#help", "app/b/tool.ts#help#2", "jv", "jv/src", "jv/src/A.java", "jv/src/A.java#help"}
     assert got(path="app/b/deep.ts@go") == set() and "." in got(path="app@npm")
     assert got(path="") == set() and len(got()) == graph.nodes.count()
     nodes, edges, modules = graph.filter(symbol_kind="class")
@@ -143,7 +145,7 @@ def test_lines_of_a_run_share_its_id(spark, tmp_path, capsys):
     assert out == "" and len({x["runId"] for x in lines if x.get("stage") != "broken"}) == 1
     ends = {x["stage"]: x for x in lines if x["message"] == "stage complete"}
     assert list(ends) == ["discovery", "extraction", "assembly", "document"] and all(x["durationMs"] >= 0 for x in ends.values())
-    assert ends["extraction"]["languages"] == {"typescript": {"files": 6, "extracted": 5, "skipped": 1}}
+    assert ends["extraction"]["languages"] == {"typescript": {"files": 7, "extracted": 6, "skipped": 1}}
     assert lines[-1] | {"timestamp": "", "durationMs": 0} == {"timestamp": "", "level": "error", "message": "stage failed", "stage": "broken", "durationMs": 0, "error": "no"}
 
 
