@@ -6,35 +6,53 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of documents (the
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, parity_join, shards, suffix_match, toxicity
 from tessera.llm.queries import TARGETS, read
-from tessera.plans.session import discard, mark, scratch, sweep
+from tessera.plans.session import discard, mark, rest, scratch, sweep
 
 
+def rested(stage: Callable) -> Callable:
+    """A stage that begins once executors have given back the heap that those before it have grown."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@rested
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance calls toxic go."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
+@rested
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles, exact copies included, the one of the smallest id stays."""
     return parity_join.keep_one(docs)
 
 
+@rested
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a verbatim passage of thirteen words of a benchmark item go."""
     return suffix_match.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+@rested
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of languages under their target share are repeated until the shares fit; every document stays at least once."""
     return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS)
 
 
+@rested
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of equal bytes."""
     return shards.assign(docs)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.graph import components
 from tessera.llm.text import SOLID, STEP, U, blocks, grams, mix
-from tessera.plans.session import discard, ship, table, width
+from tessera.plans.session import discard, release, rest, ship, table, width
 
 SMALL = 16
 #: Least bits of a bit sketch; a set of more than half as many shingles has two bits a shingle, rounded up to a power of two.
@@ -192,6 +192,8 @@ def _deal(size: int, targets: np.ndarray, num: int, den: int):
                 if count >= FLUSH:
                     yield from flush()
         yield from flush()
+        seen.clear()
+        release()
 
     return run
 
@@ -449,6 +451,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = Window.partitionBy("sid", "level").orderBy("cnt", "key")
     prefix = kept(shared.join(alive, ["sid", "level"]).withColumn("r", F.row_number().over(order)).filter("r <= keep").select("sid", "key", "level", "n", "meet"), "parity-prefix")
+    rest(spark)
     reps = alive.select(F.coalesce("rep", F.lit(-(2**63))).alias("at"))
     left = alive.select("sid")
     chosen = src.join(_small(reps), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("at"), "left_semi").select("text")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.text import ALNUM, STEP, U, Block, blocks, mix
-from tessera.plans.session import ship
+from tessera.plans.session import release, ship
 
 DEPTH = 16
 SHARD = 2 << 20
@@ -200,6 +200,7 @@ def _annotate(text_at: int, shared, added: list[str]):
                 match = [[{"item_id": queries.names[s[2]], "item_word": s[3], "doc_word": s[1], "words": s[4]} for s in spans[ends[i] : ends[i + 1]].tolist()] for i in range(b.n)]
                 part = batch.slice(b.first, b.n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(match, MATCH)], names=[*part.schema.names, *added])
+        release()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tessera.llm.columns import quoted, unused, whole
 from tessera.llm.quality import held_out, labelled
 from tessera.llm.text import ALNUM, LOWER, Block, blocks
-from tessera.plans.session import ship
+from tessera.plans.session import release, ship
 
 #: Words of a window that is scored, and of one that the extract is trained on.
 WINDOW, TRAINED = 14, 8
@@ -314,6 +314,8 @@ def _fit(threshold: float):
             t = pa.Table.from_batches(got).sort_by("rank")
             m = fit(t.column("text").combine_chunks(), t.column("y").to_numpy(), threshold)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.ordinary, m.toxic, np.concatenate([m.mean, m.scale, m.weight, [m.shift]]).tobytes())], names=["ordinary", "toxic", "curve"])
+            del got, t, m
+        release()
 
     return run
 
@@ -347,6 +349,7 @@ def with_score(docs: DataFrame, model: Model | None, text_col: str = "text") ->
         for batch in batches:
             s = m.score(m.gains(batch.column(0).field(at)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["_all", "_score"])
+        release()
 
     kinds = T.StructType([rows.schema["_all"], T.StructField("_score", T.DoubleType())])
     return rows.mapInArrow(run, kinds).select("_all.*", F.col("_score").alias(name))

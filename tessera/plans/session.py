@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import shutil
@@ -11,6 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -87,6 +90,22 @@ def sweep(spark: SparkSession, since: int) -> None:
         discard(spark, _made.pop())
 
 
+def rest(spark: SparkSession) -> None:
+    """Give back the heap that executors have grown and no longer need; nothing that is live is lost.
+
+    A JVM keeps a grown heap until a full collection, and a long run of stages ends with all of it, beside its Python workers. One task for each core asks for that collection.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') as x").write.format("noop").mode("overwrite").save()
+
+
+def release() -> None:
+    """At the end of a Python task: give back what the worker's allocators keep, as the worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -124,3 +124,28 @@ def test_stages_bear_nulls_repeats_and_extra_columns(spark):
             assert sum(r.text == "same words here" for r in out) == 1 and sum(r.text in (None, "") for r in out) == 3
         elif name != "toxicity":
             assert len(out) >= docs.count() - (name == "decontamination") * 20
+
+
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_every_stage_begins_with_the_heap_given_back(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        before = full_collections(spark)
+        stage(spark, docs, SF)
+        assert full_collections(spark) > before
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    from tessera.plans.session import release
+
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024  # noqa: E731, SIM115
+    held = [bytes(2000) for _ in range(100_000)]
+    top, held = held[-1], None  # the last one keeps the heap from shrinking by itself
+    before = resident()
+    release()
+    assert len(top) == 2000 and resident() < before - 100
