@@ -1,7 +1,10 @@
 """Graph operators on small literal graphs."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +145,85 @@ def test_louvain_triangles():
 
 def test_every_twin_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def moved_and_contracted(a, b, w):
+    """Louvain over dictionaries, all edges at once."""
+    names = sorted({*a, *b})
+    adj, place = [{} for _ in names], list(range(len(names)))
+    for x, y, v in zip(map(names.index, a), map(names.index, b), w, strict=True):
+        adj[x][y] = adj[x].get(y, 0.0) + v
+        if x != y:
+            adj[y][x] = adj[y].get(x, 0.0) + v
+    while True:
+        deg = [sum(row.values()) + row.get(i, 0.0) for i, row in enumerate(adj)]
+        com, total, all_, again = list(range(len(adj))), list(deg), sum(deg), True
+        while again:
+            again = False
+            for i, row in enumerate(adj):
+                near, own = {}, com[i]
+                for j, v in row.items():
+                    if j != i:
+                        near[com[j]] = near.get(com[j], 0.0) + v
+                total[own] -= deg[i]
+                best = own
+                for c in sorted(near):
+                    if near[c] - total[c] * deg[i] / all_ > near.get(best, 0.0) - total[best] * deg[i] / all_ + 1e-12:
+                        best = c
+                total[best] += deg[i]
+                again |= best != own
+                com[i] = best
+        if com == list(range(len(adj))):
+            order = {}
+            return {x: order.setdefault(place[i], len(order)) for i, x in enumerate(names)}
+        number = {}
+        com = [number.setdefault(c, len(number)) for c in com]
+        place, inner = [com[p] for p in place], [{} for _ in number]
+        for i, row in enumerate(adj):
+            for j, v in row.items():
+                if j >= i:
+                    for x, y in {(com[i], com[j]), (com[j], com[i])}:
+                        inner[x][y] = inner[x].get(y, 0.0) + v
+        adj = inner
+
+
+def test_louvain_in_files_and_stretches(spark, monkeypatch):
+    graphs = []
+    for seed in range(30):
+        r = random.Random(seed)
+        n = r.choice([2, 9, 40])
+        e = sorted({tuple(sorted((f"n{r.randrange(n):02}", f"n{r.randrange(n):02}"))) for _ in range(4 * n)})
+        graphs.append([(f"g{seed:02}", *x, r.choice([9.0, 3.0, 1.0, 1.5])) for x in e])
+    want = {g[0][0]: moved_and_contracted(*map(list, list(zip(*g, strict=True))[1:])) for g in graphs}
+    with monkeypatch.context() as m:
+        m.setattr(M, "HELD", 0)
+        m.setattr(M, "STEP", 7)
+        assert {g[0][0]: M.louvain(*map(list, list(zip(*g, strict=True))[1:])) for g in graphs} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")  # groups end within batches
+    try:
+        got = {}
+        for x in M.communities(frame(spark, [x for g in graphs for x in g], "repo_id string, a string, b string, weight double")).collect():
+            got.setdefault(x.repo_id, {})[x.id] = x.community
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_louvain_holds_nodes_and_not_edges(monkeypatch):
+    """Some 290,000 edges among 1,200 nodes pass in batches; as numbers, both directions are 7 MB."""
+    monkeypatch.setattr(M, "HELD", 1 << 16)
+    monkeypatch.setattr(M, "STEP", 1 << 12)
+
+    def batches():
+        for i in range(0, 1200, 10):
+            x, y = (z.ravel() for z in np.meshgrid(np.arange(i, i + 10), np.arange(1200), indexing="ij"))
+            some = (x < y) & ((x % 3 == y % 3) | ((x * y) % 7 == 1))
+            x, y = x[some].astype(np.int32), y[some].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(["r"] * len(x)), pa.array(x), pa.array(y), pa.array(np.where(x % 3 == y % 3, 9.0, 1.0))], names=["repo_id", "low", "high", "weight"])
+
+    assert sum(b.num_rows for b in batches()) > 290_000
+    tracemalloc.start()
+    got = pa.Table.from_batches(M._partitioned("repo_id")(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("community").to_pylist() == [i % 3 for i in range(1200)] and peak < 3 << 20
